@@ -1,0 +1,44 @@
+"""The queries of the operators on text, each over its whole tables."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from recordloom.llm.split_overlap import split_overlap
+from recordloom.session import read_table
+
+
+def p1_found(spark: SparkSession, folder: str) -> DataFrame:
+    pairs = split_overlap(read_table(spark, folder, "training_records"), read_table(spark, folder, "heldout_tasks"))
+    return pairs.select(F.col("heldout_key").alias("heldout_id"), F.col("train_key").alias("train_id"))
+
+
+def p1_overlap_by_split(spark: SparkSession, folder: str) -> DataFrame:
+    """Overlapping pairs, training records and held-out items per split of the item and dataset of the record."""
+    training, heldout = read_table(spark, folder, "training_records"), read_table(spark, folder, "heldout_tasks")
+    pairs = split_overlap(training, heldout)
+    splits = heldout.select(
+        F.col("heldout_id").alias("heldout_key"), F.coalesce("split", F.lit("unknown")).alias("heldout_split")
+    ).distinct()
+    sources = training.select(
+        F.col("train_id").alias("train_key"),
+        F.coalesce(F.lower(F.trim("task.source.dataset")), F.lit("unknown")).alias("dataset"),
+    ).distinct()
+    return (
+        pairs.join(splits, "heldout_key")
+        .join(sources, "train_key")
+        .groupBy("heldout_split", "dataset")
+        .agg(
+            F.count("*").alias("pairs"),
+            F.countDistinct("train_key").alias("training_records"),
+            F.countDistinct("heldout_key").alias("heldout_items"),
+            F.sum(F.col("same_words").cast("long")).alias("same_words"),
+            F.round(F.avg("likeness"), 6).alias("mean_likeness"),
+            F.sum(F.col("matched_words").cast("long")).alias("matched_words"),
+        )
+    )
+
+
+QUERIES = {"p1_found": p1_found, "p1_overlap_by_split": p1_overlap_by_split}
+ORACLES: dict[str, str] = {}
