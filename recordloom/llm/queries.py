@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from recordloom.llm.shared_spans import records_with_shared_spans, shared_span_shares
 from recordloom.llm.split_overlap import split_overlap
 from recordloom.session import read_table
 
@@ -40,5 +41,20 @@ def p1_overlap_by_split(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-QUERIES = {"p1_found": p1_found, "p1_overlap_by_split": p1_overlap_by_split}
+def p2_found(spark: SparkSession, folder: str) -> DataFrame:
+    found = records_with_shared_spans(read_table(spark, folder, "normalized_attempts"))
+    return found.select(F.col("record_id").alias("id"))
+
+
+def p2_shared_share(spark: SparkSession, folder: str) -> DataFrame:
+    """Of each answer that shares a stretch with another: how much of it."""
+    return shared_span_shares(read_table(spark, folder, "normalized_attempts")).withColumnRenamed("record_id", "id")
+
+
+QUERIES = {
+    "p1_found": p1_found,
+    "p1_overlap_by_split": p1_overlap_by_split,
+    "p2_found": p2_found,
+    "p2_shared_share": p2_shared_share,
+}
 ORACLES: dict[str, str] = {}
