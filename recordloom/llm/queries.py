@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from recordloom.llm.near_duplicates import near_duplicate_groups, near_duplicate_pairs
 from recordloom.llm.shared_spans import records_with_shared_spans, shared_span_shares
 from recordloom.llm.split_overlap import split_overlap
 from recordloom.session import read_table
@@ -51,10 +52,33 @@ def p2_shared_share(spark: SparkSession, folder: str) -> DataFrame:
     return shared_span_shares(read_table(spark, folder, "normalized_attempts")).withColumnRenamed("record_id", "id")
 
 
+#: TESTDATA.md sets the likeness and the length of word runs of this table's queries.
+TRAINING_LIKENESS, TRAINING_RUN = 0.6, 3
+
+
+def _training_text():
+    return F.concat(F.coalesce("task.problem_text", F.lit("")), F.lit(" "), F.coalesce("response_text", F.lit("")))
+
+
+def p4_found(spark: SparkSession, folder: str) -> DataFrame:
+    records = read_table(spark, folder, "training_records")
+    pairs = near_duplicate_pairs(records, "train_id", _training_text(), TRAINING_LIKENESS, TRAINING_RUN)
+    return pairs.select(F.col("id_a").alias("train_id_a"), F.col("id_b").alias("train_id_b"))
+
+
+def p4_groups(spark: SparkSession, folder: str) -> DataFrame:
+    """Group, copies and links of each training record."""
+    records = read_table(spark, folder, "training_records")
+    groups = near_duplicate_groups(records, "train_id", _training_text(), TRAINING_LIKENESS, TRAINING_RUN)
+    return groups.withColumnRenamed("record_id", "train_id")
+
+
 QUERIES = {
     "p1_found": p1_found,
     "p1_overlap_by_split": p1_overlap_by_split,
     "p2_found": p2_found,
     "p2_shared_share": p2_shared_share,
+    "p4_found": p4_found,
+    "p4_groups": p4_groups,
 }
 ORACLES: dict[str, str] = {}
