@@ -13,12 +13,11 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from recordloom.llm.text import RollingHash, code_points, sliding
+from recordloom.llm.text import RollingHash, code_points, rows_of, sliding
 from recordloom.session import materialize
 
 ANCHOR = 50
@@ -166,19 +165,44 @@ class SuffixAutomaton:
 
 
 def _shard_spans(length: int):
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+    """Spans by shard; rows come sorted by anchor, and no anchor has more than ``SHARD_WINDOWS`` rows."""
+
+    def shard(anchor: int, rows: list[tuple[int, str, int, int]], out: list[tuple[int, int, int, int]]) -> None:
         automaton = SuffixAutomaton()
-        rows = list(zip(pdf["around"].tolist(), pdf["surroundings"], pdf["low"].tolist(), pdf["high"].tolist()))
         for _, text, low, high in rows:
             automaton.add(text, low, high)
         automaton.finish()
-        anchor = int(pdf["anchor"].iloc[0])
-        out = [(anchor, w, a, b) for w, text, low, high in rows for a, b in automaton.spans(text, low, high, length)]
-        return pd.DataFrame(out, columns=["anchor", "around", "span_start", "span_end"])
+        for around, text, low, high in rows:
+            out += [(anchor, around, a, b) for a, b in automaton.spans(text, low, high, length)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, rows = None, []
+        for batch in batches:
+            out: list[tuple[int, int, int, int]] = []
+            columns = rows_of(batch, "anchor", "around", "surroundings", "low", "high")
+            for anchor, *row in zip(*columns):
+                if anchor != now and rows:
+                    shard(now, rows, out)
+                    rows = []
+                now = anchor
+                rows.append(tuple(row))
+            yield _span_batch(out)
+        out = []
+        if rows:
+            shard(now, rows, out)
+        yield _span_batch(out)
 
     return run
 
 
+def _span_batch(spans: list[tuple[int, int, int, int]]) -> pa.RecordBatch:
+    columns = list(zip(*spans)) or [()] * 4
+    types = (pa.int64(), pa.int64(), pa.int32(), pa.int32())
+    return pa.RecordBatch.from_arrays(
+        [pa.array(c, t) for c, t in zip(columns, types)], names=["anchor", "around", "span_start", "span_end"]
+    )
+
+
 def _right_cuts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Only the surroundings with the right hash: of an id with several texts the others are cut at a wrong place."""
     for batch in batches:
@@ -250,8 +274,9 @@ def _spans(rows: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
     small = (
         shards.select(columns)
         .join(many, "anchor", "left_anti")
-        .groupBy("anchor")
-        .applyInPandas(_shard_spans(length), "anchor long, around long, span_start int, span_end int")
+        .repartition("anchor")
+        .sortWithinPartitions("anchor", "around")
+        .mapInArrow(_shard_spans(length), "anchor long, around long, span_start int, span_end int")
     )
     stretches = (
         shards.select(columns)
