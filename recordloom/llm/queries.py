@@ -6,8 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from recordloom.llm.near_duplicates import near_duplicate_groups, near_duplicate_pairs
+from recordloom.llm.packing import pack
 from recordloom.llm.shared_spans import records_with_shared_spans, shared_span_shares
 from recordloom.llm.split_overlap import split_overlap
+from recordloom.llm.tokens import slice_name, token_budget, with_token_counts
 from recordloom.session import read_table
 
 
@@ -73,6 +75,65 @@ def p4_groups(spark: SparkSession, folder: str) -> DataFrame:
     return groups.withColumnRenamed("record_id", "train_id")
 
 
+def p5_token_budget(spark: SparkSession, folder: str) -> DataFrame:
+    """Tokens per source, language and domain; a domain that the text does not name is that of its source."""
+    documents = read_table(spark, folder, "documents").select(
+        F.lit("documents").alias("origin"),
+        F.col("doc_id").alias("key"),
+        "source",
+        "lang",
+        "subject_domain",
+        F.lit(None).cast("long").alias("stated_tokens"),
+        "text",
+    )
+    attempts = read_table(spark, folder, "normalized_attempts").select(
+        F.lit("normalized_attempts").alias("origin"),
+        F.col("id").alias("key"),
+        F.col("task.source.dataset").alias("source"),
+        "lang",
+        F.lit(None).cast("string").alias("subject_domain"),
+        F.col("token_usage.completion_tokens").alias("stated_tokens"),
+        F.col("response_text").alias("text"),
+    )
+    slices = token_budget(documents).unionByName(token_budget(attempts, unique=True))
+    catalog = read_table(spark, folder, "source_catalog").select(
+        slice_name("source_name").alias("source"), slice_name("subject_domain").alias("catalog_domain")
+    )
+    catalog = catalog.groupBy("source").agg(F.min("catalog_domain").alias("catalog_domain"))
+    known = F.when(F.col("subject_domain") != "unknown", F.col("subject_domain"))
+    return (
+        slices.join(catalog, "source", "left")
+        .withColumn("subject_domain", F.coalesce(known, "catalog_domain", F.lit("unknown")))
+        .groupBy("origin", "source", "lang", "subject_domain")
+        .agg(*[F.sum(c).alias(c) for c in ("texts", "chars", "tokens", "stated_tokens")])
+    )
+
+
+CONTAINER_TOKENS = 2048
+
+
+def _containers(spark: SparkSession, folder: str) -> DataFrame:
+    documents = read_table(spark, folder, "documents").select("doc_id", "text")
+    return pack(with_token_counts(documents, "text", "doc_tokens"), "doc_id", "doc_tokens", CONTAINER_TOKENS)
+
+
+def p6_containers(spark: SparkSession, folder: str) -> DataFrame:
+    """Container of each document; several rows only for a document larger than a container."""
+    return _containers(spark, folder)
+
+
+def p6_fill(spark: SparkSession, folder: str) -> DataFrame:
+    """How full the containers are: one row."""
+    filled = _containers(spark, folder).groupBy("container").agg(F.sum("tokens").alias("tokens"), F.count("*").alias("pieces"))
+    return filled.agg(
+        F.count("*").alias("containers"),
+        F.sum("pieces").alias("pieces"),
+        F.sum("tokens").alias("tokens"),
+        F.max("tokens").alias("fullest"),
+        F.round(F.sum("tokens") / (F.count("*") * CONTAINER_TOKENS), 6).alias("fill"),
+    )
+
+
 QUERIES = {
     "p1_found": p1_found,
     "p1_overlap_by_split": p1_overlap_by_split,
@@ -80,5 +141,8 @@ QUERIES = {
     "p2_shared_share": p2_shared_share,
     "p4_found": p4_found,
     "p4_groups": p4_groups,
+    "p5_token_budget": p5_token_budget,
+    "p6_containers": p6_containers,
+    "p6_fill": p6_fill,
 }
 ORACLES: dict[str, str] = {}

@@ -49,7 +49,7 @@ class DoubleArray:
                 continue
             codes = sorted(children[node])
             base = max(0, free - codes[0] - 1)
-            while any(base + c + 1 < len(self.check) and self.check[base + c + 1] != -1 for c in codes) or base == 0 and False:
+            while any(base + c + 1 < len(self.check) and self.check[base + c + 1] != -1 for c in codes):
                 base += 1
             top = base + codes[-1] + 2
             if top > len(self.check):
@@ -230,14 +230,17 @@ def slice_name(column: str | Column) -> Column:
     return F.when(c.isNull() | (c == ""), "unknown").otherwise(c)
 
 
-def token_budget(texts: DataFrame, vocabulary: str = DEFAULT_VOCABULARY) -> DataFrame:
+def token_budget(texts: DataFrame, unique: bool = False, vocabulary: str = DEFAULT_VOCABULARY) -> DataFrame:
     """Tokens, texts and characters per ``origin, source, lang, subject_domain`` of ``texts``.
 
-    ``texts`` has these columns, ``text`` and ``stated_tokens`` (a count that came with the text, or null). Each slice
-    leaves a task as one row, so a hot source is no hot key. Defined cases: null and empty texts count as texts with 0
-    tokens; null names are ``unknown``, null languages ``und``; an empty table gives an empty result.
+    ``texts`` has these columns, ``key``, ``text`` and ``stated_tokens`` (a count that came with the text, or null).
+    With ``unique`` rows with one key are one text. Each slice leaves a task as one row, so a hot source is no hot key.
+    Defined cases: null and empty texts count as texts with 0 tokens; null names are ``unknown``, null languages
+    ``und``; rows with a null key are texts of their own; an empty table gives an empty result.
     """
+    own = F.concat(F.lit("#"), F.monotonically_increasing_id())
     prepared = texts.select(
+        F.coalesce(F.concat(F.lit("="), F.col("key").cast("string")), own).alias("key"),
         "origin",
         slice_name("source").alias("source"),
         language("lang").alias("lang"),
@@ -246,7 +249,10 @@ def token_budget(texts: DataFrame, vocabulary: str = DEFAULT_VOCABULARY) -> Data
         F.coalesce(F.length("text"), F.lit(0)).cast("long").alias("chars"),
         "text",
     )
-    counted = with_token_counts(prepared, "text", "tokens", vocabulary)
+    counted = with_token_counts(prepared if unique else prepared.drop("key"), "text", "tokens", vocabulary)
+    if unique:
+        # Only the counts travel; a key that occurs often leaves each task once.
+        counted = counted.dropDuplicates(["key"])
     return counted.groupBy("origin", "source", "lang", "subject_domain").agg(
         F.count("*").alias("texts"),
         F.sum("chars").alias("chars"),
