@@ -15,14 +15,13 @@ import math
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from recordloom.llm.gray_index import GrayIndex
-from recordloom.llm.text import RollingHash, mix, ranges, words
+from recordloom.llm.text import COUNTER_SCHEMA, RollingHash, counter_rows, mix, ranges, total_counts, words
 from recordloom.session import materialize
 
 BITS = 128
@@ -30,7 +29,6 @@ BITS = 128
 MARGIN = 5.2
 #: log2 of the counters that order word runs by their frequency; their size does not grow with the data.
 SKETCH_BITS = 18
-BLOCK = 1 << 12
 #: Classes that one part compares; the parts of a more frequent run are split into blocks.
 PART = 1 << 14
 #: Members of a class of equal records that are written as pairs among themselves; larger classes as links to the first.
@@ -113,26 +111,12 @@ def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         hashes = np.frombuffer(b"".join(batch.column("runs").to_pylist()), np.uint64)
         counts += np.bincount((hashes >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), minlength=len(counts))
-    blocks = counts.reshape(-1, BLOCK)
-    yield pa.RecordBatch.from_arrays(
-        [pa.array(np.arange(len(blocks), dtype=np.int32)), pa.array([b.tobytes() for b in blocks], pa.binary())],
-        names=["block", "counts"],
-    )
-
-
-def _add(pdf: pd.DataFrame) -> pd.DataFrame:
-    total = np.sum([np.frombuffer(b, np.int64) for b in pdf["counts"]], axis=0)
-    return pd.DataFrame({"block": pdf["block"].iloc[:1], "counts": [total.tobytes()]})
+    yield counter_rows(counts)
 
 
 def frequencies(sets: DataFrame) -> np.ndarray:
     """Counters of all word runs of all records, of a fixed size."""
-    parts = sets.select("runs").mapInArrow(_sketch, "block int, counts binary")
-    rows = parts.groupBy("block").applyInPandas(_add, "block int, counts binary").collect()
-    counts = np.zeros(1 << SKETCH_BITS, np.int64)
-    for r in rows:
-        counts[r.block * BLOCK : (r.block + 1) * BLOCK] = np.frombuffer(r.counts, np.int64)
-    return counts
+    return total_counts(sets.select("runs").mapInArrow(_sketch, COUNTER_SCHEMA), 1 << SKETCH_BITS)
 
 
 def _rarest(counts, threshold: float):

@@ -10,6 +10,7 @@ from recordloom.llm.packing import pack
 from recordloom.llm.shared_spans import records_with_shared_spans, shared_span_shares
 from recordloom.llm.split_overlap import split_overlap
 from recordloom.llm.tokens import slice_name, token_budget, with_token_counts
+from recordloom.llm.truncation import truncation_scores
 from recordloom.session import read_table
 
 
@@ -134,6 +135,27 @@ def p6_fill(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def _end_scores(spark: SparkSession, folder: str) -> DataFrame:
+    documents = read_table(spark, folder, "documents")
+    return truncation_scores(documents.select(F.col("doc_id").alias("text_id"), "text", "lang", "source"))
+
+
+def p8_found(spark: SparkSession, folder: str) -> DataFrame:
+    return _end_scores(spark, folder).filter("truncated").select(F.col("text_id").cast("long").alias("doc_id"))
+
+
+def p8_truncation_by_source(spark: SparkSession, folder: str) -> DataFrame:
+    """Texts of each source, how many are cut, how many of these carry a mark, and their share."""
+    scores = _end_scores(spark, folder)
+    cut = F.col("truncated").cast("long")
+    return scores.groupBy("source").agg(
+        F.count("*").alias("texts"),
+        F.sum(cut).alias("truncated"),
+        F.sum(F.when(F.col("lost_mark"), cut).otherwise(0)).alias("with_mark"),
+        F.round(F.avg(cut), 6).alias("truncated_share"),
+    )
+
+
 QUERIES = {
     "p1_found": p1_found,
     "p1_overlap_by_split": p1_overlap_by_split,
@@ -144,5 +166,7 @@ QUERIES = {
     "p5_token_budget": p5_token_budget,
     "p6_containers": p6_containers,
     "p6_fill": p6_fill,
+    "p8_found": p8_found,
+    "p8_truncation_by_source": p8_truncation_by_source,
 }
 ORACLES: dict[str, str] = {}

@@ -6,6 +6,10 @@ import re
 import unicodedata
 
 import numpy as np
+import pandas as pd
+import pyarrow as pa
+from pyspark import TaskContext
+from pyspark.sql import DataFrame
 
 WORD = re.compile(r"\w+")
 #: The marks that may enclose the statement of a held-out item.
@@ -104,6 +108,46 @@ def ranges(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
     return np.cumsum(step)
 
 
-def rows_of(batch, *names: str) -> list[list]:
+def rows_of(batch: pa.RecordBatch, *names: str) -> list[list]:
     """Columns of an Arrow batch as Python lists."""
     return [batch.column(batch.schema.get_field_index(n)).to_pylist() for n in names]
+
+
+#: Counters of one row, when arrays of counters travel.
+COUNTER_BLOCK = 4096
+COUNTER_SCHEMA = "block int, part int, counts binary"
+
+
+def counter_rows(counts: np.ndarray) -> pa.RecordBatch:
+    """The blocks of an array of counters that are not all zero, as an Arrow batch of ``COUNTER_SCHEMA``."""
+    context = TaskContext.get()
+    part = context.partitionId() % 64 if context else 0
+    blocks = counts.astype(np.int64).reshape(-1, COUNTER_BLOCK)
+    used = np.flatnonzero(blocks.any(axis=1))
+    return pa.RecordBatch.from_arrays(
+        [
+            pa.array(used.astype(np.int32)),
+            pa.array(np.full(len(used), part, np.int32)),
+            pa.array([blocks[k].tobytes() for k in used], pa.binary()),
+        ],
+        names=["block", "part", "counts"],
+    )
+
+
+def _summed(pdf: pd.DataFrame) -> pd.DataFrame:
+    total = np.zeros(COUNTER_BLOCK, np.int64)
+    for b in pdf["counts"]:
+        total += np.frombuffer(b, np.int64)
+    return pd.DataFrame({"block": pdf["block"].iloc[:1], "part": [0], "counts": [total.tobytes()]})
+
+
+def total_counts(rows: DataFrame, size: int) -> np.ndarray:
+    """Sum of the counters of all tasks, in two steps so that no group grows with the number of tasks alone.
+
+    The result has a fixed size, whatever the data.
+    """
+    halves = rows.groupBy("block", "part").applyInPandas(_summed, COUNTER_SCHEMA)
+    total = np.zeros(size, np.int64)
+    for r in halves.groupBy("block").applyInPandas(_summed, COUNTER_SCHEMA).collect():
+        total[r.block * COUNTER_BLOCK : (r.block + 1) * COUNTER_BLOCK] = np.frombuffer(r.counts, np.int64)
+    return total
