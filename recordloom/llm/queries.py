@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from recordloom.llm.leakage import leak_report, leaked_passages
 from recordloom.llm.near_duplicates import near_duplicate_groups, near_duplicate_pairs
 from recordloom.llm.packing import pack
 from recordloom.llm.shared_spans import records_with_shared_spans, shared_span_shares
@@ -135,6 +136,17 @@ def p6_fill(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def p7_found(spark: SparkSession, folder: str) -> DataFrame:
+    pairs = leaked_passages(read_table(spark, folder, "documents"), read_table(spark, folder, "heldout_tasks"))
+    return pairs.select(F.col("doc_key").cast("long").alias("doc_id"), F.col("heldout_key").alias("heldout_id"))
+
+
+def p7_leak_report(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents with a passage of an item, verbatim or reworded, and how they match."""
+    report = leak_report(read_table(spark, folder, "documents"), read_table(spark, folder, "heldout_tasks"))
+    return report.withColumn("doc_id", F.col("doc_key").cast("long")).drop("doc_key").withColumnRenamed("heldout_key", "heldout_id")
+
+
 def _end_scores(spark: SparkSession, folder: str) -> DataFrame:
     documents = read_table(spark, folder, "documents")
     return truncation_scores(documents.select(F.col("doc_id").alias("text_id"), "text", "lang", "source"))
@@ -166,6 +178,8 @@ QUERIES = {
     "p5_token_budget": p5_token_budget,
     "p6_containers": p6_containers,
     "p6_fill": p6_fill,
+    "p7_found": p7_found,
+    "p7_leak_report": p7_leak_report,
     "p8_found": p8_found,
     "p8_truncation_by_source": p8_truncation_by_source,
 }
