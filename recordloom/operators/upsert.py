@@ -108,3 +108,18 @@ def surplus_deliveries(deliveries: DataFrame, buckets: int | None = None) -> Dat
         .join(kept, "delivery_no", "left_anti")
         .distinct()
     )
+
+
+def kept_deliveries(deliveries: DataFrame, payload: list[str] | None = None, buckets: int | None = None) -> DataFrame:
+    """The kept delivery of every attempt: key, winning order and ``payload`` columns. Cases as in ``surplus_deliveries``."""
+    spark = deliveries.sparkSession
+    payload = payload or []
+    status = F.lower(strip("status"))
+    ranked = deliveries.select(
+        strip("id").alias("delivery_key"), F.when(status == "ok", 0).otherwise(1).alias("not_ok"), "received_at", "delivery_no", *payload
+    )
+    buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    order = ["not_ok", "received_at", "delivery_no"]
+    store = BucketedStore(spark, new_table_path(spark, "deliveries"), "delivery_key", order, payload, buckets)
+    store.upsert(ranked, "all")
+    return store.rows()
