@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from recordloom.plans import attempts, deliveries
+from recordloom.plans import attempts, deliveries, selection
 
-MODULES = [deliveries, attempts]
+MODULES = [deliveries, attempts, selection]
 QUERIES = {name: query for m in MODULES for name, query in m.QUERIES.items()}
 ORACLES = {name: sql for m in MODULES for name, sql in m.ORACLES.items()}
