@@ -8,12 +8,19 @@ import tokenize
 
 import pandas as pd
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, StringType
+from pyspark.sql.types import ArrayType, BooleanType, IntegerType, StringType, StructType
 
 #: Calls that a program must not make when it is loaded.
 FORBIDDEN_CALLS = ("compile", "eval", "exec", "__import__", "input", "breakpoint")
 
 
+def _struct(kind, *names: str) -> StructType:
+    out = StructType()
+    for n in names:
+        out = out.add(n, kind)
+    return out
+
+
 def _tree(source: str | None) -> ast.Module | None:
     try:
         return ast.parse(source) if source is not None else None
@@ -37,7 +44,7 @@ def _facts(source: str | None) -> dict:
     }
 
 
-@F.pandas_udf("parses boolean, docstring boolean, loose_string boolean, top_assert boolean, forbidden_call boolean")
+@F.pandas_udf(_struct(BooleanType(), "parses", "docstring", "loose_string", "top_assert", "forbidden_call"))
 def source_facts(source: pd.Series) -> pd.DataFrame:
     """What a program text holds; all false when it does not parse, which includes null."""
     return pd.DataFrame([_facts(s) for s in source], columns=["parses", "docstring", "loose_string", "top_assert", "forbidden_call"])
@@ -107,7 +114,7 @@ def normalised_assertions(text: pd.Series, target: pd.Series) -> pd.Series:
     return pd.Series([normal_assertions(t, n) for t, n in zip(text, target)])
 
 
-@F.pandas_udf("name string, signature string, parameters int")
+@F.pandas_udf(_struct(StringType(), "name", "signature").add("parameters", IntegerType()))
 def first_function(source: pd.Series) -> pd.DataFrame:
     """Name, signature and number of parameters of the first function; nulls when there is none."""
     rows = []
@@ -123,7 +130,7 @@ def first_function(source: pd.Series) -> pd.DataFrame:
     return pd.DataFrame(rows, columns=["name", "signature", "parameters"]).astype({"parameters": "Int32"})
 
 
-@F.pandas_udf("comment_tokens int, comment_lines int")
+@F.pandas_udf(_struct(IntegerType(), "comment_tokens", "comment_lines"))
 def comment_counts(source: pd.Series) -> pd.DataFrame:
     """Comments and the lines that hold one; what was counted before an error in the text stays."""
     rows = []

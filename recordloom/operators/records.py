@@ -11,8 +11,8 @@ from recordloom.functions.text import has_access_key, redact_paths
 
 TOP = "array<struct<token:string,bytes:array<int>,logprob:double>>"
 TOKEN = f"struct<token:string,bytes:array<int>,logprob:double,top_logprobs:{TOP}>"
-#: Columns of a raw record; nested values that vary stay as they come.
-RAW = T._parse_datatype_string(
+#: Columns of a raw record.
+RAW = (
     "schema_version string, id string, status string, collected_at string, "
     "request struct<model:string,messages:array<struct<role:string,content:string>>,top_logprobs:int>, "
     "response struct<id:string,model:string,choices:array<struct<finish_reason:string,"

@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from recordloom.plans import attempts, deliveries, selection
+from recordloom.plans import attempts, deliveries, likelihood, selection, streams, texts
 
-MODULES = [deliveries, attempts, selection]
+MODULES = [deliveries, attempts, selection, texts, likelihood, streams]
 QUERIES = {name: query for m in MODULES for name, query in m.QUERIES.items()}
 ORACLES = {name: sql for m in MODULES for name, sql in m.ORACLES.items()}
