@@ -159,11 +159,11 @@ def file_digests(spark: SparkSession, path: str) -> DataFrame:
 
 
 def seal(rows: DataFrame, path: str) -> dict:
-    """Archive of rows (JSON lines, zstd), read again and compared before it counts as sealed."""
+    """Archive of rows (Parquet, zstd), read again and compared before it counts as sealed."""
     spark = rows.sparkSession
     before = digest(rows)
-    rows.write.option("compression", "zstd").json(path)
-    after = digest(spark.read.schema(rows.schema).json(path))
+    rows.write.option("compression", "zstd").parquet(path)
+    after = digest(spark.read.schema(rows.schema).parquet(path))
     if before != after:
         _delete(spark, path)
         raise ValueError("the archive does not hold what was written")
