@@ -27,10 +27,14 @@ CHUNK = 1 << 20
 SHARD_WINDOWS = 64
 
 ANCHOR_SCHEMA = "anchor long, around long, row_key long, at int"
+PLACE_SCHEMA = ANCHOR_SCHEMA + ", text_key long"
 
 
-def anchors(texts: list[str], keys: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Anchor hash, hash of its surroundings, key and position, for every anchor of the texts."""
+def anchors(texts: list[str], length: int, places: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Anchor hash, hash of its surroundings, number of the text and position, for every anchor of the texts.
+
+    Without ``places`` an anchor that a text has again and again with equal surroundings comes out once.
+    """
     data, offsets = code_points(texts)
     n, none = len(data), np.zeros(0, np.int64)
     if n < length:
@@ -47,8 +51,9 @@ def anchors(texts: list[str], keys: np.ndarray, length: int) -> tuple[np.ndarray
     start = np.maximum(offsets[text], chosen - (length - ANCHOR))
     end = np.minimum(offsets[text + 1], chosen + length)
     around = rolling.of(start, end) + (end - start).astype(np.uint64)
-    out = hashes[chosen].view(np.int64), around.view(np.int64), keys[text], chosen - offsets[text]
-    # In a stretch that repeats itself one anchor has the same surroundings again and again.
+    out = hashes[chosen].view(np.int64), around.view(np.int64), text, chosen - offsets[text]
+    if places:
+        return out
     order = np.lexsort(out[:3])
     a, w, k = (x[order] for x in out[:3])
     new = np.ones(len(order), bool)
@@ -68,17 +73,18 @@ def chunks(texts: list[str]) -> Iterator[tuple[int, int]]:
         yield first, len(texts)
 
 
-def anchor_rows(length: int):
+def anchor_rows(length: int, places: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch.column("text").to_pylist()
             keys = batch.column("row_key").to_numpy(zero_copy_only=False)
+            text_keys = batch.column("text_key").to_numpy(zero_copy_only=False) if places else None
             for a, b in chunks(texts):
-                anchor, around, key, at = anchors(texts[a:b], keys[a:b], length)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(anchor), pa.array(around), pa.array(key), pa.array(at.astype(np.int32))],
-                    names=["anchor", "around", "row_key", "at"],
-                )
+                anchor, around, text, at = anchors(texts[a:b], length, places)
+                columns = [pa.array(anchor), pa.array(around), pa.array(keys[a:b][text]), pa.array(at.astype(np.int32))]
+                if places:
+                    columns.append(pa.array(text_keys[a:b][text]))
+                yield pa.RecordBatch.from_arrays(columns, names=["anchor", "around", "row_key", "at", "text_key"][: len(columns)])
 
     return run
 
@@ -248,9 +254,10 @@ def _prepared(records: DataFrame, record_id: str | Column, text: str | Column, l
     return rows.withColumn("row_key", F.xxhash64("record_id"))
 
 
-def _candidates(rows: DataFrame, length: int) -> DataFrame:
+def _candidates(rows: DataFrame, length: int, places: bool) -> DataFrame:
     """Anchors that occur in more than one record, written to the shared folder."""
-    every = materialize(rows.select("row_key", "text").mapInArrow(anchor_rows(length), ANCHOR_SCHEMA), "anchors")
+    taken = rows.select("row_key", "text", *["text_key"] * places)
+    every = materialize(taken.mapInArrow(anchor_rows(length, places), PLACE_SCHEMA if places else ANCHOR_SCHEMA), "anchors")
     # Hot anchors leave each task as one row.
     spread = every.groupBy("anchor").agg(F.min("row_key").alias("low"), F.max("row_key").alias("high"))
     shared = spread.filter("low <> high").select("anchor")
@@ -299,7 +306,7 @@ def records_with_shared_spans(
     are one record; texts may be of any length; other columns are ignored.
     """
     rows = _prepared(records, record_id, text, length)
-    shared = _candidates(rows, length)
+    shared = _candidates(rows, length, False)
     equal = shared.groupBy("anchor", "around").agg(F.min("row_key").alias("low"), F.max("row_key").alias("high"))
     equal = equal.filter("low <> high").select("anchor", "around")
     found = materialize(shared.join(equal, ["anchor", "around"], "left_semi").select("row_key").distinct(), "found")
@@ -317,11 +324,11 @@ def shared_span_shares(
 ) -> DataFrame:
     """Per record with shared stretches: characters, shared characters, their share, spans and the longest span.
 
-    Overlapping and touching spans are merged. Defined cases as in ``records_with_shared_spans``; the spans of an id
-    that occurs with several texts of different lengths are reported against each length.
+    Overlapping and touching spans are merged. Defined cases as in ``records_with_shared_spans``; each text of an
+    id that occurs with several texts is a row.
     """
-    rows = _prepared(records, record_id, text, length)
-    shared = _candidates(rows, length)
+    rows = _prepared(records, record_id, text, length).withColumn("text_key", F.xxhash64("text"))
+    shared = _candidates(rows, length, True)
     spread = shared.groupBy("anchor", "around").agg(F.min("row_key").alias("low"), F.max("row_key").alias("high"))
     uneven = spread.filter("low = high").select("anchor", "around")
     # Where all of an anchor's surroundings are equal, they are the span; the others go through the automata.
@@ -329,26 +336,27 @@ def shared_span_shares(
     back = length - ANCHOR
     first = F.greatest(F.col("at") - back, F.lit(0))
     whole = shared.join(spread.filter("low <> high"), ["anchor", "around"], "left_semi").select(
-        "row_key", first.alias("span_start"), (F.col("at") + length).alias("span_end")
+        "row_key", "text_key", first.alias("span_start"), (F.col("at") + length).alias("span_end")
     )
     parts = mixed.join(_spans(rows, mixed, length), ["anchor", "around"]).select(
-        "row_key", (first + F.col("span_start")).alias("span_start"), (first + F.col("span_end")).alias("span_end")
+        "row_key", "text_key", (first + F.col("span_start")).alias("span_start"), (first + F.col("span_end")).alias("span_end")
     )
-    sizes = rows.select("record_id", "row_key", F.length("text").alias("chars")).distinct()
-    spans = whole.unionByName(parts).distinct().join(sizes, "row_key")
+    sizes = rows.select("record_id", "row_key", "text_key", F.length("text").alias("chars")).distinct()
+    spans = whole.unionByName(parts).distinct().join(sizes, ["row_key", "text_key"])
     spans = spans.withColumn("span_end", F.least("span_end", "chars"))
     # Merged per record by a running end; a record's spans are bounded by its own length.
-    by = Window.partitionBy("record_id", "chars")
+    by = Window.partitionBy("record_id", "text_key", "chars")
     before = by.orderBy("span_start", "span_end").rowsBetween(Window.unboundedPreceding, -1)
     reached = F.coalesce(F.max("span_end").over(before), F.lit(-1))
     starts = spans.withColumn("_new", (F.col("span_start") > reached).cast("int"))
     groups = starts.withColumn("_group", F.sum("_new").over(by.orderBy("span_start", "span_end").rowsBetween(Window.unboundedPreceding, 0)))
-    merged = groups.groupBy("record_id", "chars", "_group").agg(
+    merged = groups.groupBy("record_id", "text_key", "chars", "_group").agg(
         F.min("span_start").alias("a"), F.max("span_end").alias("b")
     )
-    return merged.groupBy("record_id", "chars").agg(
+    shares = merged.groupBy("record_id", "text_key", "chars").agg(
         F.sum(F.col("b") - F.col("a")).cast("long").alias("shared_chars"),
         F.round(F.sum(F.col("b") - F.col("a")) / F.col("chars"), 6).alias("shared_share"),
         F.count("*").alias("spans"),
         F.max(F.col("b") - F.col("a")).alias("longest_span"),
     )
+    return shares.drop("text_key")
