@@ -127,7 +127,7 @@ class LatentIndex:
         for k, ids in enumerate(encoded):
             queries[ids, k] = self.idf[ids]
         latent = space.T @ queries
-        self.norms = np.linalg.norm(latent, axis=0)
+        self.latent, self.norms = np.ascontiguousarray(latent.T), np.linalg.norm(latent, axis=0)
         folded = space @ latent * self.idf[:size, None]
         self.weights = np.vstack([np.maximum(folded, 0), np.zeros((1, len(texts)), np.float32)]).astype(np.float32)
         self.thresholds = np.full(len(texts), np.inf, np.float32)
@@ -401,11 +401,8 @@ def _report(ix: LatentIndex, facts: list, part: pa.RecordBatch, share: float, co
         ids = flat[ranges(word[at], count)]
         begin = np.cumsum(count) - count
         vectors[at] = np.add.reduceat(ix.space[ids] * ix.idf[ids][:, None], begin, axis=0)
-    queries = ix.space[:-1].T @ np.stack(
-        [np.bincount(np.unique(t), ix.idf[np.unique(t)], minlength=ix.vocabulary.size) for t in ix.texts], axis=1
-    ).astype(np.float32)
     norm = np.linalg.norm(vectors, axis=1) * ix.norms[item]
-    likeness = np.einsum("ij,ij->i", vectors, queries.T[item]) / np.maximum(norm, 1e-9)
+    likeness = np.einsum("ij,ij->i", vectors, ix.latent[item]) / np.maximum(norm, 1e-9)
     out = []
     for d, w, h, c in zip(own.tolist(), word.tolist(), item.tolist(), likeness.tolist()):
         certain = d * len(facts) + h in verbatim

@@ -2,12 +2,15 @@
 
 Sum-of-squares packing: an item goes where the sum, over all gaps, of the squared number of open containers with that
 gap becomes smallest. The rule looks at one item after the other, so it runs in shards of bounded size; the containers
-of all shards are numbered through. Items larger than a container fill containers of their own, and their rest is an
+of all shards are numbered through. What lies in containers that are not full at the end of a shard is packed anew,
+largest first and each where the least room remains, if that needs fewer of them. Items larger than a container fill containers of their own, and their rest is an
 item as any other.
 """
 
 from __future__ import annotations
 
+import bisect
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -22,7 +25,7 @@ SHARD_ITEMS = 50_000
 def sum_of_squares(sizes: np.ndarray, capacity: int) -> np.ndarray:
     """Container number (from 0) of each item, in the order given; no size exceeds the capacity.
 
-    Ties go to the smallest gap that fits. Items of size 0 take no room: they go to the container opened last.
+    Ties go to the smallest gap that remains. Items of size 0 take no room: they go to the container opened last.
     """
     open_bins: list[list[int]] = [[] for _ in range(capacity + 1)]  # by gap
     number = np.zeros(capacity + 1, np.int64)  # how many are open, by gap; gap 0 is closed
@@ -58,6 +61,39 @@ def sum_of_squares(sizes: np.ndarray, capacity: int) -> np.ndarray:
     return out
 
 
+def best_fit(sizes: np.ndarray, capacity: int) -> np.ndarray:
+    """Container number of each item, largest items first, each where the least room remains."""
+    gaps: list[tuple[int, int]] = []
+    out = np.zeros(len(sizes), np.int64)
+    made = 0
+    for i in np.argsort(-sizes, kind="stable").tolist():
+        size = int(sizes[i])
+        at = bisect.bisect_left(gaps, (size, -1))
+        if at < len(gaps):
+            gap, container = gaps.pop(at)
+        else:
+            gap, container = capacity, made
+            made += 1
+        out[i] = container
+        if gap > size:
+            bisect.insort(gaps, (gap - size, container))
+    return out
+
+
+def pack_shard(sizes: np.ndarray, capacity: int) -> np.ndarray:
+    """Container number (from 0) of each item of a shard: sum of squares, then a second packing of what is not full."""
+    numbers = sum_of_squares(sizes, capacity)
+    fill = np.bincount(numbers, sizes, minlength=1).astype(np.int64)
+    loose = np.flatnonzero(fill[numbers] < capacity) if len(sizes) else np.zeros(0, np.int64)
+    anew = best_fit(sizes[loose], capacity)
+    used = np.unique(numbers[loose])
+    # Items of size 0 fit anywhere, so they never open a container of their own here.
+    if len(loose) and anew.max() + 1 < len(used):
+        numbers[loose] = used[anew]
+        numbers = np.unique(numbers, return_inverse=True)[1]
+    return numbers
+
+
 def pack(items: DataFrame, item_id: str, size: str | Column, capacity: int, shard_items: int = SHARD_ITEMS) -> DataFrame:
     """``item_id, container, piece, tokens``: where each item goes; pieces of an item are numbered from 0.
 
@@ -79,7 +115,7 @@ def pack(items: DataFrame, item_id: str, size: str | Column, capacity: int, shar
         pdf = pdf.sort_values(["rest", "item_id"], ascending=[False, True], kind="stable", ignore_index=True)
         whole = (pdf["rest"] == 0) & (pdf["full"] > 0)
         packed = pdf[~whole]
-        numbers = sum_of_squares(packed["rest"].to_numpy(), capacity)
+        numbers = pack_shard(packed["rest"].to_numpy(), capacity)
         first = int(numbers.max()) + 1 if len(numbers) else 0
         big = pdf[pdf["full"] > 0]
         times = big["full"].to_numpy()

@@ -121,50 +121,69 @@ OFFSETS = (0, SIZES[0], SIZES[0] + SIZES[1])
 TOTAL = -(-sum(SIZES) // COUNTER_BLOCK) * COUNTER_BLOCK
 
 
+class _Chunk:
+    """Positions of some texts behind each other: their contexts, and which of them are ends.
+
+    Each text is ``(text without marks, language number, whether it had a mark)``.
+    """
+
+    def __init__(self, texts: list[tuple[str, int, bool]]):
+        lines = [t.split("\n") for t, *_ in texts]
+        kinds = [line_kinds(x) for x in lines]
+        # A line break belongs to the line that it ends, and one more parts the texts.
+        s0 = symbols("".join(t + "\n" for t, *_ in texts))
+        kind = np.repeat(np.array([k for ks in kinds for k in ks]), np.array([len(x) + 1 for ls in lines for x in ls]))
+        lengths = np.array([len(t) + 1 for t, *_ in texts])
+        lang = np.repeat(np.array([x for _, x, _ in texts]), lengths)
+        s1, s2 = np.zeros_like(s0), np.zeros_like(s0)
+        s1[1:], s2[2:] = s0[:-1], s0[:-2]
+        self.starts = np.cumsum(lengths) - lengths
+        self.last = np.cumsum(lengths) - 2
+        self.lengths = lengths
+        self.inside = np.ones(len(s0), bool)
+        self.inside[self.last + 1] = False
+        ends = np.isin(kind, ITEMS)
+        ends[:-1] &= s0[1:] == BREAK
+        ends &= s0 != BREAK
+        # The end of a marked text, or of one inside a block, speaks for nothing.
+        ends[self.last] = ~np.array([lost for *_, lost in texts]) & (kind[self.last] != CODE)
+        self.ends = ends
+        self.kinds = kind[self.last]
+        self.numbers = contexts(kind, s0, s1, s2, lang)
+
+    def add_to(self, counts: np.ndarray) -> None:
+        for number, offset, size in zip(self.numbers, OFFSETS, SIZES):
+            counts[offset : offset + size] += np.bincount(number[self.inside], minlength=size)
+            counts[TOTAL + offset : TOTAL + offset + size] += np.bincount(number[self.ends], minlength=size)
+
+
+def _chunks(batch: pa.RecordBatch) -> Iterator[tuple[list[int], "_Chunk"]]:
+    """Row numbers of texts that are not empty without their marks, and their positions."""
+    rows: list[int] = []
+    texts: list[tuple[str, int, bool]] = []
+    size = 0
+    for i, (text, lang) in enumerate(zip(batch.column("text").to_pylist(), batch.column("lang_no").to_pylist())):
+        text, lost = body(text)
+        if text:
+            rows.append(i)
+            texts.append((text, lang, lost))
+            size += len(text)
+        if size >= CHUNK:
+            yield rows, _Chunk(texts)
+            rows, texts, size = [], [], 0
+    if texts:
+        yield rows, _Chunk(texts)
+
+
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """How often each context occurs anywhere, then how often at the end of a text or of a line that is an item."""
     counts = np.zeros(2 * TOTAL, np.int64)
     for batch in batches:
-        texts, langs = batch.column("text").to_pylist(), batch.column("lang_no").to_numpy()
-        pending: list[tuple[str, list[int], list[int], int]] = []
-        size = 0
-        for text, lang in zip(texts, langs.tolist()):
-            text, _ = body(text)
-            if not text:
-                continue
-            lines = text.split("\n")
-            pending.append((text, line_kinds(lines), [len(x) + 1 for x in lines], lang))
-            size += len(text)
-            if size >= CHUNK:
-                _add(counts, pending)
-                pending, size = [], 0
-        _add(counts, pending)
+        for _, chunk in _chunks(batch):
+            chunk.add_to(counts)
     yield counter_rows(counts)
 
 
-def _add(counts: np.ndarray, texts: list[tuple[str, list[int], list[int], int]]) -> None:
-    if not texts:
-        return
-    # A line break belongs to the line that it ends; two line breaks part the texts.
-    s0 = symbols("".join(t + "\n" for t, *_ in texts))
-    kind = np.repeat(np.array([k for _, ks, *_ in texts for k in ks]), np.array([n for _, _, ns, _ in texts for n in ns]))
-    lengths = np.array([len(t) + 1 for t, *_ in texts])
-    lang = np.repeat(np.array([x for *_, x in texts]), lengths)
-    s1, s2 = np.zeros_like(s0), np.zeros_like(s0)
-    s1[1:], s2[2:] = s0[:-1], s0[:-2]
-    last = np.cumsum(lengths) - 2
-    keep = np.ones(len(s0), bool)
-    keep[last + 1] = False
-    ends = np.isin(kind, ITEMS)
-    ends[:-1] &= s0[1:] == BREAK
-    ends &= s0 != BREAK
-    ends[last] = True
-    ends = np.flatnonzero(ends)
-    for at, (number, offset, size) in enumerate(zip(contexts(kind, s0, s1, s2, lang), OFFSETS, SIZES)):
-        counts[offset : offset + size] += np.bincount(number[keep], minlength=size)
-        counts[TOTAL + offset : TOTAL + offset + size] += np.bincount(number[ends], minlength=size)
-
-
 class BackwardModel:
     """Log-odds of an end after a context, from the counts of all texts."""
 
@@ -175,14 +194,17 @@ class BackwardModel:
         self.by_kind = (by_kind[1] + BACKUP * base) / (by_kind[0] + BACKUP)
         self.every, self.ends = every.astype(np.int32), ends.astype(np.int32)
 
-    def log_odds(self, kind: int, tail: np.ndarray, lang: int) -> float:
-        """For the end of a text that was counted itself: without it, so no text speaks for its own end."""
-        s0, s1, s2 = (int(tail[-k]) if len(tail) >= k else 0 for k in (1, 2, 3))
-        p = float(self.by_kind[kind])
-        for number, offset in zip(contexts(kind, s0, s1, s2, lang), OFFSETS):
-            ends, every = int(self.ends[offset + number]) - 1, int(self.every[offset + number]) - 1
-            p = (max(ends, 0) + BACKUP * p) / (max(every, 0) + BACKUP)
-        return float(np.log(p / (1 - p + 1e-9)))
+    def log_odds(self, chunk: _Chunk) -> np.ndarray:
+        """For the end of each text, by the counts of all other texts: no text speaks about its own end."""
+        p = self.by_kind[chunk.kinds]
+        for number, offset in zip(chunk.numbers, OFFSETS):
+            final = number[chunk.last]
+            same = (number == np.repeat(final, chunk.lengths)) & chunk.inside
+            every = self.every[offset + final] - np.add.reduceat(same, chunk.starts, dtype=np.int64)
+            ends = self.ends[offset + final] - np.add.reduceat(same & chunk.ends, chunk.starts, dtype=np.int64)
+            # Less their standard error: one or two cut texts with a context are no sign that texts end there.
+            p = (np.maximum(ends - np.sqrt(ends), 0) + BACKUP * p) / (every + BACKUP)
+        return np.log(p / (1 - p + 1e-9))
 
 
 SCORE_SCHEMA = "text_id string, lang string, source string, lost_mark boolean, log_odds double"
@@ -191,20 +213,12 @@ SCORE_SCHEMA = "text_id string, lang string, source string, lost_mark boolean, l
 def _score(model):
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            odds, marks = [], []
-            for text, lang in zip(batch.column("text").to_pylist(), batch.column("lang_no").to_pylist()):
-                text, lost = body(text)
-                cut = text.rfind("\n") + 1
-                fences = text.count("\n" + FENCE) + text.startswith(FENCE)
-                line = text[cut:]
-                if line.startswith(FENCE):
-                    kind = CODE if fences % 2 else CLOSED
-                else:
-                    kind = CODE if fences % 2 else line_kind(line)
-                odds.append(model.value.log_odds(kind, symbols(text[-3:]), lang) if text else 0.0)
-                marks.append(lost)
+            odds = np.zeros(batch.num_rows)
+            for rows, chunk in _chunks(batch):
+                odds[rows] = model.value.log_odds(chunk)
+            marks = [body(t)[1] for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays(
-                [batch.column("text_id"), batch.column("lang"), batch.column("source"), pa.array(marks), pa.array(odds, pa.float64())],
+                [batch.column("text_id"), batch.column("lang"), batch.column("source"), pa.array(marks), pa.array(odds)],
                 names=["text_id", "lang", "source", "lost_mark", "log_odds"],
             )
 
