@@ -24,8 +24,8 @@ from recordloom.llm.text import COUNTER_BLOCK, COUNTER_SCHEMA, RollingHash, coun
 
 #: Latent dimensions, and further random directions of the sketch.
 RANK, OVERSAMPLE = 256, 16
-#: Items of one index; further items are searched in further blocks, each over the whole corpus.
-BLOCK_ITEMS = 512
+#: Items and characters of one index, about; further items are searched in further blocks, each over the whole corpus.
+BLOCK_ITEMS, BLOCK_CHARS = 512, 1 << 18
 #: Words that are scored at once in a Python worker.
 CHUNK = 1 << 15
 
@@ -254,7 +254,8 @@ def longest_common_run(a: list[int], b: list[int], other: int) -> int:
 def _collect_items(heldout: DataFrame, heldout_id: str, prompt: str, answers: list[str]) -> tuple[DataFrame, int]:
     items = heldout.select(F.col(heldout_id).cast("string").alias("k"), F.col(prompt).alias("p"), *answers)
     items = items.filter(F.col("k").isNotNull() & F.col("p").isNotNull()).distinct()
-    return items, max(1, -(-items.count() // BLOCK_ITEMS))
+    size = items.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.length("p")), F.lit(0)).alias("chars")).first()
+    return items, max(1, -(-size.n // BLOCK_ITEMS), -(-size.chars // BLOCK_CHARS))
 
 
 def _index(corpus: DataFrame, texts: list[list[str]], run: int) -> LatentIndex:
@@ -296,7 +297,7 @@ def leaked_passages(
 ) -> DataFrame:
     """``doc_key, heldout_key``: the document has ``run`` consecutive words of the item's statement.
 
-    The items are collected in blocks of about ``BLOCK_ITEMS``, each searched over the whole corpus; documents are never
+    The items are collected in blocks of about ``BLOCK_ITEMS`` and ``BLOCK_CHARS`` at most, each searched over the whole corpus; documents are never
     shuffled. Defined cases: null ids and texts take no part; a statement with fewer than ``run`` words is in no
     document; repeated rows give one pair; documents may be of any length; other columns are ignored.
     """

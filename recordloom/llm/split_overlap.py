@@ -18,8 +18,8 @@ from pyspark.sql import functions as F
 from recordloom.llm.text import RollingHash, ranges, statement, words
 
 RUN = 3
-#: Evaluation items of one index; more items are searched in several indexes, each over all training rows.
-SHARD_ITEMS = 4096
+#: Evaluation items and characters of one index, about; more are searched in several indexes, each over all training rows.
+SHARD_ITEMS, SHARD_CHARS = 4096, 4 << 20
 
 OVERLAP_SCHEMA = (
     "train_key string, heldout_key string, same_words boolean, shared_runs int, likeness double, "
@@ -198,8 +198,8 @@ def split_overlap(
 ) -> DataFrame:
     """All pairs of a training and a held-out row with the same words or a likeness of at least ``threshold``.
 
-    The held-out set is searched in shards of at most ``SHARD_ITEMS`` items, each collected and indexed on its own, so
-    what is broadcast is bounded; the training rows are never shuffled. Defined cases: null and wordless texts match
+    The held-out set is searched in shards of about ``SHARD_ITEMS`` items and ``SHARD_CHARS`` characters at most, each
+    collected and indexed on its own, so what is broadcast is bounded; the training rows are never shuffled. Defined cases: null and wordless texts match
     nothing; texts of fewer than three words match only when all their words are the same; a null id is kept as null;
     repeated rows give repeated pairs only if their ids differ; other columns are ignored.
     """
@@ -208,7 +208,8 @@ def split_overlap(
     items = heldout.select(F.col(heldout_id).cast("string").alias("k"), F.col(prompt).alias("p")).distinct()
     rows = training.select(column(train_id).cast("string").alias("train_key"), column(train_text).alias("text"))
     rows = rows.filter(F.col("text").isNotNull())
-    shards = -(-items.count() // SHARD_ITEMS) or 1
+    size = items.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.length("p")), F.lit(0)).alias("chars")).first()
+    shards = max(1, -(-size.n // SHARD_ITEMS), -(-size.chars // SHARD_CHARS))
     found = None
     for k in range(shards):
         shard = items.filter(F.pmod(F.xxhash64("k", "p"), F.lit(shards)) == k).collect()

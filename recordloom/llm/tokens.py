@@ -43,17 +43,18 @@ class DoubleArray:
             value[at] = k
         self.base, self.check, self.value = [0], [-1], [-1]
         place = {0: 0}
-        free = 1
+        # Where nodes with as many children were put last: the places before are taken, for the most part.
+        last: dict[int, int] = {}
         for node in range(len(children)):
             if not children[node]:
                 continue
             codes = sorted(children[node])
-            base = max(0, free - codes[0] - 1)
+            base = last.get(len(codes), 0)
             while any(base + c + 1 < len(self.check) and self.check[base + c + 1] != -1 for c in codes):
                 base += 1
-            top = base + codes[-1] + 2
-            if top > len(self.check):
-                grow = top - len(self.check)
+            last[len(codes)] = base
+            grow = base + codes[-1] + 2 - len(self.check)
+            if grow > 0:
                 self.base += [0] * grow
                 self.check += [-1] * grow
                 self.value += [-1] * grow
@@ -64,8 +65,6 @@ class DoubleArray:
                 self.check[base + c + 1] = state
                 self.value[base + c + 1] = value[child]
                 place[child] = base + c + 1
-            while free < len(self.check) and self.check[free] != -1:
-                free += 1
 
     def prefixes(self, data: bytes, start: int) -> Iterator[tuple[int, int]]:
         """End and key number of every key that starts at ``start``."""
