@@ -1,6 +1,6 @@
 """Most alike text of a large table for each text of a small one, by three measures.
 
-The small side (held-out items) is bounded by ``BLOCK_ITEMS`` per pass; its inverted index travels to the tasks, and the
+The small side (held-out items) is bounded by ``BLOCK_ITEMS`` and ``BLOCK_CHARS`` per pass; its inverted index travels to the tasks, and the
 large side is streamed once per block without an exchange. Each task keeps its best match per item.
 """
 
@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from recordloom.functions.text import terms, words
 from recordloom.session import materialize
 
-BLOCK_ITEMS = 2048
+BLOCK_ITEMS, BLOCK_CHARS = 2048, 4 << 20
 _WORD = re.compile(r"\w+")
 
 
@@ -89,7 +89,8 @@ def nearest_texts(
     norms = counted.join(frequencies, "term").groupBy("text_key").agg(F.sum((F.col("tf") * smooth) ** 2).alias("square"))
     norms = norms.join(copies, "text_key").select("text_key", (F.sqrt("square") / F.col("copies")).alias("norm"))
     rows = materialize(rows.join(norms, "text_key", "left").select("id", "text", F.coalesce("norm", F.lit(0.0)).alias("norm")), "normed")
-    blocks = max(1, -(-items.count() // BLOCK_ITEMS))
+    size = items.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.length("text")), F.lit(0)).alias("chars")).first()
+    blocks = max(1, -(-size.n // BLOCK_ITEMS), -(-size.chars // BLOCK_CHARS))
     out = None
     for b in range(blocks):
         block = items.filter(F.pmod(F.xxhash64("id"), F.lit(blocks)) == b).orderBy("id").collect()
