@@ -273,22 +273,22 @@ def _spans(rows: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
         F.min("row_key").alias("low"), F.max("row_key").alias("high"), F.min(F.struct("row_key", "at")).alias("_from")
     )
     one = one.select("anchor", "around", "low", "high", F.col("_from.row_key").alias("row_key"), F.col("_from.at").alias("at"))
+    one = materialize(one, "surroundings-keys")
+    sizes = one.groupBy("anchor").agg(F.count("*").alias("shard_size"))
     texts = rows.select("row_key", "text").dropDuplicates(["row_key", "text"])
-    columns = ["anchor", "around", "surroundings", "low", "high"]
-    pieces = one.join(texts, "row_key").select("anchor", "around", cut.alias("surroundings"), "low", "high")
+    columns = ["anchor", "around", "surroundings", "low", "high", "shard_size"]
+    pieces = one.join(sizes, "anchor").join(texts, "row_key").withColumn("surroundings", cut).select(columns)
     shards = materialize(pieces.mapInArrow(_right_cuts, pieces.schema), "surroundings")
-    many = shards.groupBy("anchor").count().filter(F.col("count") > SHARD_WINDOWS).select("anchor")
+    # The exchange must come straight from the written table: after a join on the same key it would be left out of the
+    # plan as needless, and the join may then be run without one, which tears shards apart.
     small = (
-        shards.select(columns)
-        .join(many, "anchor", "left_anti")
+        shards.filter(F.col("shard_size") <= SHARD_WINDOWS)
         .repartition("anchor")
         .sortWithinPartitions("anchor", "around")
         .mapInArrow(_shard_spans(length), "anchor long, around long, span_start int, span_end int")
     )
-    stretches = (
-        shards.select(columns)
-        .join(many, "anchor", "left_semi")
-        .mapInArrow(_stretches(length), "stretch long, anchor long, around long, low long, high long, span_start int")
+    stretches = shards.filter(F.col("shard_size") > SHARD_WINDOWS).mapInArrow(
+        _stretches(length), "stretch long, anchor long, around long, low long, high long, span_start int"
     )
     twice = stretches.groupBy("stretch").agg(F.min("low").alias("_low"), F.max("high").alias("_high")).filter("_low <> _high")
     large = stretches.join(twice, "stretch", "left_semi").select(

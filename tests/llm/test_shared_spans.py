@@ -104,3 +104,24 @@ def test_automaton_spans():
     assert a.spans("abcabcx", 0, 0, 4) == [(0, 6)]
     assert a.spans("qqabcq", 9, 9, 3) == [(2, 5)]
     assert a.spans("abcabcx", 0, 0, 7) == []
+
+
+def test_plans_that_change_at_run_time_lose_nothing(spark):
+    """Joins planned as sorted that turn out small run without their exchange: shards must not be torn apart."""
+    rng = random.Random(11)
+    shared = [noise(rng, 205) for _ in range(40)]
+    rows = []
+    for k, s in enumerate(shared):
+        rows += [(f"a{k}", noise(rng, 40) + s + noise(rng, 300)), (f"b{k}", noise(rng, 150) + s + noise(rng, 30))]
+    rows += [(f"c{k}", shared[0][:190] + noise(rng, 100)) for k in range(100)]
+    names = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.autoBroadcastJoinThreshold": "10m"}
+    before = {n: spark.conf.get(n, None) for n in names}
+    try:
+        for n, v in names.items():
+            spark.conf.set(n, v)
+        want = {i for i, _ in model(rows)}
+        got = S.records_with_shared_spans(frame(spark, rows).repartition(8)).collect()
+        assert len(want) == 80 and {r.record_id for r in got} == want
+    finally:
+        for n, v in before.items():
+            spark.conf.unset(n) if v is None else spark.conf.set(n, v)
