@@ -45,18 +45,28 @@ def bernoulli_kl(teacher: Column, student: Column, temperature: float = 100.0, e
     return F.exp(p) * (p - q) + (-F.expm1(p)) * (log1mexp(p) - log1mexp(q))
 
 
+def bound(value: Column, body) -> Column:
+    """``body`` of a value that is computed once per row, however often the body uses it, lambdas included."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def log_softmax(values: Column) -> Column:
-    top = F.array_max(values)
-    total = F.log(F.aggregate(values, F.lit(0.0), lambda s, x: s + F.exp(x - top)))
-    return F.transform(values, lambda x: x - top - total)
+    def with_top(top: Column) -> Column:
+        total = top + F.log(F.aggregate(values, F.lit(0.0), lambda s, x: s + F.exp(x - top)))
+        return bound(total, lambda t: F.transform(values, lambda x: x - t))
+
+    return bound(F.array_max(values), with_top)
 
 
 def sparse_kl(teacher: Column, student: Column) -> Column:
     """Divergence over shared candidates (arrays of log-probabilities in one order) and one bucket for the rest."""
-    inner = F.aggregate(F.zip_with(teacher, student, lambda p, q: F.exp(p) * (p - q)), F.lit(0.0), lambda s, x: s + x)
     rest = lambda a: F.log(F.greatest(1.0 - F.aggregate(a, F.lit(0.0), lambda s, x: s + F.exp(x)), F.lit(1e-12)))
-    p, q = rest(teacher), rest(student)
-    return inner + F.exp(p) * (p - q)
+
+    def divergence(p: Column, q: Column) -> Column:
+        inner = F.aggregate(F.zip_with(p, q, lambda x, y: F.exp(x) * (x - y)), F.lit(0.0), lambda s, x: s + x)
+        return bound(rest(p), lambda a: bound(rest(q), lambda b: inner + F.exp(a) * (a - b)))
+
+    return bound(teacher, lambda p: bound(student, lambda q: divergence(p, q)))
 
 
 def padded(values: Column | str, width: Column | int, fill: Column) -> Column:

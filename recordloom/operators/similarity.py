@@ -160,11 +160,14 @@ def nearest_texts(
 def containment(rows: DataFrame, items: DataFrame, row_id: str, row_text: str, item_id: str, item_text: Column) -> DataFrame:
     """Pairs where the item's words stand in the row's words, as words; found by the item's longest word first.
 
-    The item's longest word is an equi-join key on the words of the rows, and the survivors are compared.
+    Only row ids and words meet the items' longest words; the texts of the pairs that these leave are compared.
     """
-    a = rows.select(F.col(row_id).alias("row_id"), words(row_text).alias("w"))
+    a = rows.select(F.col(row_id).alias("row_id"), F.col(row_text).alias("text")).filter("text is not null")
     b = items.select(F.col(item_id).alias("item_id"), words(item_text).alias("v")).filter(F.size("v") > 0)
     longest = F.array_max(F.transform("v", lambda x: F.struct(F.length(x).alias("n"), x.alias("x"))))["x"]
-    b = b.select("item_id", longest.alias("key"), F.concat(F.lit(" "), F.array_join("v", " "), F.lit(" ")).alias("needle"))
-    keys = a.select("row_id", F.explode(F.array_distinct("w")).alias("key"), F.concat(F.lit(" "), F.array_join("w", " "), F.lit(" ")).alias("hay"))
-    return keys.join(b, "key").filter(F.contains("hay", "needle")).select("row_id", "item_id").distinct()
+    spaced = lambda w: F.concat(F.lit(" "), F.array_join(w, " "), F.lit(" "))
+    b = b.select("item_id", longest.alias("key"), spaced(F.col("v")).alias("needle"))
+    keys = a.select("row_id", F.explode(F.array_distinct(words("text"))).alias("key"))
+    near = keys.join(b, "key").select("row_id", "item_id", "needle").distinct()
+    hay = a.select("row_id", spaced(words("text")).alias("hay"))
+    return near.join(hay, "row_id").filter(F.contains("hay", "needle")).select("row_id", "item_id").distinct()

@@ -88,7 +88,7 @@ def private_strings(spark: SparkSession, folder: str) -> DataFrame:
 def answer_likeness(spark: SparkSession, folder: str) -> DataFrame:
     """How alike statement and answer of a record are, in character 5-grams."""
     rows = read_table(spark, folder, "training_records").filter("task.problem_text is not null and response_text is not null")
-    return rows.select("train_id", F.round(X.jaccard(X.char_grams("task.problem_text"), X.char_grams("response_text")), 6).alias("likeness"))
+    return rows.select("train_id", F.round(X.gram_likeness("task.problem_text", "response_text"), 6).alias("likeness"))
 
 
 def nearest_training_texts(spark: SparkSession, folder: str) -> DataFrame:

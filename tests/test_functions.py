@@ -41,6 +41,13 @@ def test_jaccard_of_two_empty_sets_is_one(spark):
     assert [r[0] for r in df.select(text.jaccard("a", "b")).collect()] == [1.0, 0.5]
 
 
+def test_gram_likeness_is_the_jaccard_of_the_grams(spark):
+    df = spark.createDataFrame([("abcdefg", "cdefgh"), ("", "x"), ("", ""), (None, "x"), ("éàü12é", "àü12éà")], "a string, b string")
+    both = df.select(text.gram_likeness("a", "b").alias("x"), text.jaccard(text.char_grams("a"), text.char_grams("b")).alias("y"))
+    for r in both.collect():
+        assert (r.x is None and r.y is None) or r.x == pytest.approx(r.y)
+
+
 def test_divergences(spark):
     df = spark.createDataFrame([(-5.0, -9.0)], "p double, q double")
     p, q = math.exp(-0.05), math.exp(-0.09)
