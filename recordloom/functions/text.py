@@ -62,7 +62,7 @@ def char_grams(text: Column | str, n: int = 5) -> Column:
     """Distinct character n-grams; a shorter text is its only gram. For short texts: each gram is cut from the start."""
     c = _col(text)
     starts = F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(c) - (n - 1)))
-    return F.array_distinct(F.transform(starts, lambda i: F.substring(c, i, F.lit(n))))
+    return F.when(c.isNotNull(), F.array_distinct(F.transform(starts, lambda i: F.substring(c, i, F.lit(n)))))
 
 
 def numeric_id(text: Column | str) -> Column:
