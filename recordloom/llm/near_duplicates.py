@@ -31,13 +31,13 @@ MARGIN = 5.2
 SKETCH_BITS = 18
 #: Classes that one part compares; the parts of a more frequent run are split into blocks.
 PART = 1 << 14
-#: Members of a class of equal records that are written as pairs among themselves; larger classes as links to the first.
+#: Copies of one text, byte by byte, that are written as pairs each; of more copies the first stands for all in pairs.
 EXPANDED = 32
 
 _RNG = np.random.default_rng(20)
 MULTIPLIERS = _RNG.integers(0, 1 << 63, BITS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
-SET_SCHEMA = "record_id string, class_key long, size int, high long, low long, runs binary"
+SET_SCHEMA = "record_id string, class_key long, text_key long, size int, high long, low long, runs binary"
 
 
 def radius(threshold: float) -> int:
@@ -83,24 +83,28 @@ def _sets(run: int):
         for batch in batches:
             for first in range(0, batch.num_rows, 1000):
                 part = batch.slice(first, 1000)
-                hashes, begin = run_sets(part.column("text").to_pylist(), run)
+                texts = part.column("text").to_pylist()
+                hashes, begin = run_sets(texts, run)
                 high, low = fingerprints(hashes, begin)
                 sums = np.zeros(len(begin), np.uint64)
                 total = np.concatenate([[np.uint64(0)], np.cumsum(mix(hashes), dtype=np.uint64)])
                 sums = total[begin[1:]] - total[begin[:-1]]
                 size = np.diff(begin)
                 keep = pa.array(size > 0)
+                # Of the bytes themselves: it tells different texts of one class apart.
+                text = np.fromiter((xxhash.xxh64_intdigest(t) for t in texts), np.uint64, len(texts))
                 rows = [hashes[a:b].tobytes() for a, b in zip(begin[:-1].tolist(), begin[1:].tolist())]
                 yield pa.RecordBatch.from_arrays(
                     [
                         part.column("record_id"),
                         pa.array(mix(sums + size.astype(np.uint64)).view(np.int64)),
+                        pa.array(text.view(np.int64)),
                         pa.array(size.astype(np.int32)),
                         pa.array(high.view(np.int64)),
                         pa.array(low.view(np.int64)),
                         pa.array(rows, pa.binary()),
                     ],
-                    names=["record_id", "class_key", "size", "high", "low", "runs"],
+                    names=["record_id", "class_key", "text_key", "size", "high", "low", "runs"],
                 ).filter(keep)
 
     return work
@@ -248,25 +252,21 @@ def near_duplicate_pairs(
 ) -> DataFrame:
     """``id_a, id_b`` (smaller first) of records with a likeness of at least ``threshold`` in runs of ``run`` words.
 
-    All pairs of records with different sets of runs come out, and so do those of records with equal sets in classes
-    of up to ``EXPANDED`` members; of a larger class its first record stands for it in pairs, and each other member is
-    paired with the first. Defined cases: a null id or text takes no part; texts with fewer than ``run`` words are in
-    no pair; rows that repeat an id are one record; other columns are ignored.
+    All pairs of records with different texts come out, whether their sets of runs are equal or not, and so do those of
+    texts with up to ``EXPANDED`` byte by byte equal copies; of more copies the first record stands for all in pairs, and
+    each other copy is paired with the first. Defined cases: a null id or text takes no part; texts with fewer than
+    ``run`` words are in no pair; rows that repeat an id are one record; other columns are ignored.
     """
     sets = record_sets(records, record_id, text, run)
     links = materialize(similar_classes(sets, threshold), "class-links")
-    members = sets.select("record_id", "class_key").distinct()
-    sizes = members.groupBy("class_key").agg(F.count("*").alias("members"), F.min("record_id").alias("first"))
-    members = members.join(sizes, "class_key")
-    shown = members.filter((F.col("members") <= EXPANDED) | (F.col("record_id") == F.col("first")))
+    members = sets.select("record_id", "class_key", "text_key").distinct()
+    sizes = members.groupBy("class_key", "text_key").agg(F.count("*").alias("copies"), F.min("record_id").alias("first"))
+    members = members.join(sizes, ["class_key", "text_key"])
+    shown = members.filter((F.col("copies") <= EXPANDED) | (F.col("record_id") == F.col("first")))
     side = lambda s: shown.select(F.col("class_key").alias(f"key_{s}"), F.col("record_id").alias(f"r_{s}"))
     across = links.join(side("a"), "key_a").join(side("b"), "key_b").select("r_a", "r_b")
-    several = shown.filter((F.col("members") > 1) & (F.col("members") <= EXPANDED)).select("class_key", "record_id")
-    within = several.select("class_key", F.col("record_id").alias("r_a")).join(
-        several.select("class_key", F.col("record_id").alias("r_b")), "class_key"
-    )
-    within = within.filter("r_a < r_b").select("r_a", "r_b")
-    star = members.filter((F.col("members") > EXPANDED) & (F.col("record_id") != F.col("first")))
+    within = side("a").join(side("b"), F.col("key_a") == F.col("key_b")).filter("r_a < r_b").select("r_a", "r_b")
+    star = members.filter((F.col("copies") > EXPANDED) & (F.col("record_id") != F.col("first")))
     star = star.select(F.col("first").alias("r_a"), F.col("record_id").alias("r_b"))
     return (
         across.union(within).union(star)

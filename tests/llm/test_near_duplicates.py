@@ -71,6 +71,17 @@ def test_large_class_is_a_star_and_hot_runs_are_split(spark, monkeypatch):
     assert got == {("c00", f"c{k:02d}") for k in range(1, 9)} | {("c00", "d")}
 
 
+def test_different_texts_of_a_large_class_are_all_paired(spark, monkeypatch):
+    monkeypatch.setattr(S, "EXPANDED", 2)
+    texts = ["alpha beta gamma delta epsilon", "Alpha beta gamma delta epsilon", "alpha, beta, gamma, delta, epsilon", "ALPHA beta gamma delta epsilon"]
+    near = ["alpha beta gamma delta epsilon zeta", "alpha beta gamma delta epsilon Zeta", "alpha beta gamma delta epsilon - zeta"]
+    rows = [(f"c{k}", t) for k, t in enumerate(texts)] + [(f"d{k}", t) for k, t in enumerate(near)]
+    # Further copies of one text are links to its first record only.
+    copies = [(f"x{k}", texts[0]) for k in range(3)]
+    got = {(r.id_a, r.id_b) for r in S.near_duplicate_pairs(frame(spark, rows + copies), "i", F.col("t"), 0.6, 3).collect()}
+    assert got == model(rows, 0.6, 3) | {("c0", i) for i, _ in copies} and len(model(rows, 0.6, 3)) == 21
+
+
 def test_splitting_hot_parts_loses_no_pair(spark, monkeypatch):
     monkeypatch.setattr(S, "PART", 3)
     rows = family(random.Random(8), 25)
