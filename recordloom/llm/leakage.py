@@ -354,9 +354,10 @@ def leak_report(
 ) -> DataFrame:
     """Documents with a passage of an item, verbatim or reworded.
 
-    A pair comes out when the best candidate passage has ``run`` words of the item in a row, or a latent cosine of at
-    least ``cosine`` while the surroundings of the passage hold, in order, at least ``share`` of the statement's words
-    (longest common subsequence). ``answer_found`` tells whether the document names the item's function together with
+    A pair comes out when any candidate passage has ``run`` words of the item in a row, or a latent cosine of at least
+    ``cosine`` while the surroundings of the passage hold, in order, at least ``share`` of the statement's words (longest
+    common subsequence). Its figures are the largest of all candidate passages of a pair with such a run, and of all
+    passages that pass the two tests of another pair. ``answer_found`` tells whether the document names the item's function together with
     one of its expected values. Cases as in ``leaked_passages``.
     """
     rows = _documents(corpus, doc_id, text)
@@ -385,26 +386,32 @@ def _report(ix: LatentIndex, facts: list, part: pa.RecordBatch, share: float, co
     texts = [words(t) for t in raw]
     lengths = [len(t) for t in texts]
     flat = ix.vocabulary.encode(texts)
-    own, word, item, score = ix.candidates(flat, lengths)
-    # The best passage of each pair stands for it.
-    order = np.lexsort((-score, item, own))
-    own, word, item, score = own[order], word[order], item[order], score[order]
+    own, word, item, _ = ix.candidates(flat, lengths)
+    order = np.lexsort((item, word))
+    own, word, item = own[order], word[order], item[order]
     hit = ix.exact(flat, lengths, own, word, item)
-    pair = own * len(facts) + item
-    verbatim = set(np.unique(pair[hit]).tolist())
-    best = np.append(True, pair[1:] != pair[:-1])[: len(pair)]
-    own, word, item = own[best], word[best], item[best]
+    verbatim = set(np.unique((own * len(facts) + item)[hit]).tolist())
     ends = np.cumsum(np.array(lengths, np.int64))
-    vectors = np.zeros((len(own), ix.space.shape[1]), np.float32)
-    for first in range(0, len(own), 2048):
-        at = slice(first, first + 2048)
+    # The vector of a passage is the same for all its items.
+    head = np.flatnonzero(np.append(True, word[1:] != word[:-1])[: len(word)])
+    items_of = np.diff(np.append(head, len(word)))
+    likeness = np.zeros(len(word))
+    for first in range(0, len(head), 2048):
+        at = head[first : first + 2048]
         count = np.minimum(ends[own[at]] - word[at], 2 * ix.run)
         ids = flat[ranges(word[at], count)]
         begin = np.cumsum(count) - count
-        vectors[at] = np.add.reduceat(ix.space[ids] * ix.idf[ids][:, None], begin, axis=0)
-    norm = np.linalg.norm(vectors, axis=1) * ix.norms[item]
-    likeness = np.einsum("ij,ij->i", vectors, ix.latent[item]) / np.maximum(norm, 1e-9)
-    out = []
+        vectors = np.add.reduceat(ix.space[ids] * ix.idf[ids][:, None], begin, axis=0)
+        size = np.linalg.norm(vectors, axis=1)
+        many = items_of[first : first + 2048]
+        passage = np.repeat(np.arange(len(at)), many)
+        for k in range(0, len(passage), 2048):
+            near = passage[k : k + 2048]
+            rows = slice(at[0] + k, at[0] + k + len(near))
+            norm = size[near] * ix.norms[item[rows]]
+            likeness[rows] = np.einsum("ij,ij->i", vectors[near], ix.latent[item[rows]]) / np.maximum(norm, 1e-9)
+    # Every passage of a verbatim pair counts; of other pairs those that pass both tests.
+    out, answered = [], {}
     for d, w, h, c in zip(own.tolist(), word.tolist(), item.tolist(), likeness.tolist()):
         certain = d * len(facts) + h in verbatim
         if not certain and c < cosine:
@@ -415,10 +422,11 @@ def _report(ix: LatentIndex, facts: list, part: pa.RecordBatch, share: float, co
         common = common_subsequence(query, near)
         if not certain and common < share * len(query):
             continue
-        _, entry, answers = facts[h]
-        named = bool(entry) and entry in raw[d] and any(re.search(rf"(?<!\w){re.escape(a)}(?!\w)", raw[d]) for a in answers)
+        if (d, h) not in answered:
+            _, entry, answers = facts[h]
+            answered[d, h] = bool(entry) and entry in raw[d] and any(re.search(rf"(?<!\w){re.escape(a)}(?!\w)", raw[d]) for a in answers)
         length = longest_common_run(query, near, ix.vocabulary.size)
-        out.append((part.column("doc_key")[d].as_py(), facts[h][0], round(c, 6), length, common, round(common / len(query), 6), named))
+        out.append((part.column("doc_key")[d].as_py(), facts[h][0], round(c, 6), length, common, round(common / len(query), 6), answered[d, h]))
     columns = list(zip(*out)) or [()] * 7
     types = (pa.string(), pa.string(), pa.float64(), pa.int32(), pa.int32(), pa.float64(), pa.bool_())
     names = [x.split(" ")[0] for x in LEAK_SCHEMA.split(", ")]

@@ -86,6 +86,21 @@ def test_report_has_reworded_passages_and_answers(spark):
     assert not any(d == "2" for d, _ in got)
 
 
+def test_report_tests_every_candidate_passage(spark):
+    rng = random.Random(4)
+    held = [(f"h{k}", " ".join(f"k{k}x{n}" for n in rng.sample(range(900), 40))) for k in range(5)]
+    item = [words(h[1]) for h in held]
+    # Words of the item in reverse score highest and fail the subsequence test; the leak stands far behind them.
+    decoy = [" ".join(w[23::-1] + ["pad"] * 300) for w in item]
+    reworded = " ".join(x if k % 6 else "instead" for k, x in enumerate(item[0]))
+    docs = [(1, f"{decoy[0]} {reworded}"), (2, f"{decoy[1]} {' '.join(item[1][:14])}"), (3, decoy[2]), (4, "pad " * 30_000)]
+    a, b = frames(spark, docs, held)
+    got = {(r.doc_key, r.heldout_key): r for r in S.leak_report(a, b).collect()}
+    assert set(got) == {("1", "h0"), ("2", "h1")}
+    assert got["1", "h0"].longest_run == 5 and got["1", "h0"].latent_cosine >= 0.5
+    assert got["2", "h1"].longest_run == got["2", "h1"].common_words == 14
+
+
 def test_longest_common_sequences():
     rng = random.Random(5)
     for _ in range(50):
