@@ -41,11 +41,23 @@ def fingerprint(text: Column | str) -> Column:
 def exact_fingerprint(text: pd.Series) -> pd.Series:
     """As ``fingerprint`` for any text: NFKC form and full case folding (Arrow batches in Python)."""
     word = re.compile(r"\w+")
-    return text.map(lambda t: None if t is None else " ".join(word.findall(unicodedata.normalize("NFKC", t).casefold())))
+    return text.map(lambda t: None if not isinstance(t, str) else " ".join(word.findall(unicodedata.normalize("NFKC", t).casefold())))
+
+
+def whole_fingerprint(text: Column | str) -> Column:
+    """The exact fingerprint; only text that is not plain ASCII goes through Python."""
+    c = _col(text)
+    plain = F.octet_length(c) == F.length(c)
+    return F.when(plain, fingerprint(c)).otherwise(exact_fingerprint(F.when(~plain, c)))
+
+
+def whole_words(text: Column | str) -> Column:
+    """The words of ``whole_fingerprint``; null for null."""
+    return F.filter(F.split(whole_fingerprint(text), " "), lambda w: w != "")
 
 
 def first_words(text: Column | str, n: int = 5) -> Column:
-    return F.array_join(F.slice(words(text), 1, n), " ")
+    return F.array_join(F.slice(whole_words(text), 1, n), " ")
 
 
 def terms(text: Column | str) -> Column:

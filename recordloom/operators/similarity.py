@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from recordloom.functions.text import terms, words
+from recordloom.functions.text import terms, whole_words
 from recordloom.session import materialize
 
 BLOCK_ITEMS, BLOCK_CHARS = 2048, 4 << 20
@@ -163,11 +163,11 @@ def containment(rows: DataFrame, items: DataFrame, row_id: str, row_text: str, i
     Only row ids and words meet the items' longest words; the texts of the pairs that these leave are compared.
     """
     a = rows.select(F.col(row_id).alias("row_id"), F.col(row_text).alias("text")).filter("text is not null")
-    b = items.select(F.col(item_id).alias("item_id"), words(item_text).alias("v")).filter(F.size("v") > 0)
+    b = items.select(F.col(item_id).alias("item_id"), whole_words(item_text).alias("v")).filter(F.size("v") > 0)
     longest = F.array_max(F.transform("v", lambda x: F.struct(F.length(x).alias("n"), x.alias("x"))))["x"]
     spaced = lambda w: F.concat(F.lit(" "), F.array_join(w, " "), F.lit(" "))
     b = b.select("item_id", longest.alias("key"), spaced(F.col("v")).alias("needle"))
-    keys = a.select("row_id", F.explode(F.array_distinct(words("text"))).alias("key"))
+    keys = a.select("row_id", F.explode(F.array_distinct(whole_words("text"))).alias("key"))
     near = keys.join(b, "key").select("row_id", "item_id", "needle").distinct()
-    hay = a.select("row_id", spaced(words("text")).alias("hay"))
+    hay = a.select("row_id", spaced(whole_words("text")).alias("hay"))
     return near.join(hay, "row_id").filter(F.contains("hay", "needle")).select("row_id", "item_id").distinct()

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from recordloom.functions.text import fingerprint, prompt_body
+from recordloom.functions.text import prompt_body, whole_fingerprint
 from recordloom.operators import aggregates, dedup, joins, ordering
 from recordloom.session import read_table
 from recordloom.sources.tasks import union_in_order
@@ -82,13 +82,13 @@ def sources_in_order(spark: SparkSession, folder: str) -> DataFrame:
 
 def repeated_statements(spark: SparkSession, folder: str) -> DataFrame:
     """Tasks whose statement has the words of an earlier task's."""
-    tasks = read_table(spark, folder, "tasks").select("problem_id", "selection_index", fingerprint("problem_text").alias("words"))
+    tasks = read_table(spark, folder, "tasks").select("problem_id", "selection_index", whole_fingerprint("problem_text").alias("words"))
     return dedup.duplicates_of(tasks.filter(F.length("words") > 0), "problem_id", "words", ["selection_index", "problem_id"])
 
 
 def first_statements(spark: SparkSession, folder: str) -> DataFrame:
     """Tasks that are the first with their words."""
-    tasks = read_table(spark, folder, "tasks").select("problem_id", "selection_index", fingerprint("problem_text").alias("words"))
+    tasks = read_table(spark, folder, "tasks").select("problem_id", "selection_index", whole_fingerprint("problem_text").alias("words"))
     return dedup.keep_first(tasks.filter("words is not null"), ["words"], ["selection_index", "problem_id"]).select("problem_id", "selection_index")
 
 
@@ -97,7 +97,7 @@ def greedy_records(spark: SparkSession, folder: str) -> DataFrame:
     normal = read_table(spark, folder, "normalized_attempts")
     rows = normal.select(
         F.concat_ws(" ", F.date_format("collected_at", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"), "id").alias("seq"),
-        "id", F.col("task.problem_id").alias("problem_id"), fingerprint("response_text").alias("words"),
+        "id", F.col("task.problem_id").alias("problem_id"), whole_fingerprint("response_text").alias("words"),
     ).dropDuplicates(["seq"])
     found = dedup.greedy_distinct(rows, ["id", "problem_id", "words"], "seq")
     return found.groupBy("kept", "reason").agg(F.count("*").alias("rows"))
@@ -136,7 +136,7 @@ def statement_overlap(spark: SparkSession, folder: str) -> DataFrame:
     """Training records whose statement has exactly the words of a held-out one."""
     return joins.exact_overlap(
         read_table(spark, folder, "training_records"), read_table(spark, folder, "heldout_tasks"), "train_id", "heldout_id",
-        fingerprint("task.problem_text"), fingerprint(prompt_body("prompt")),
+        whole_fingerprint("task.problem_text"), whole_fingerprint(prompt_body("prompt")),
     )
 
 

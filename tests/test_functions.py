@@ -12,6 +12,18 @@ def one(spark, value, column, kind="string"):
     return spark.createDataFrame([(value,)], f"x {kind}").select(column).first()[0]
 
 
+def test_words_of_any_text(spark):
+    rows = [(1, "ＦＩＮＥ １２"), (2, "ﬁne 12"), (3, "Fine, 12!"), (4, "Cafe\u0301 ß"), (5, "CAFÉ SS"), (6, None), (7, ""), (8, "…")]
+    df = spark.createDataFrame(rows, "i long, text string")
+    got = {r.i: r.w for r in df.select("i", text.whole_fingerprint("text").alias("w")).collect()}
+    assert got == {1: "fine 12", 2: "fine 12", 3: "fine 12", 4: "café ss", 5: "café ss", 6: None, 7: "", 8: ""}
+    assert {r.w for r in df.filter("i < 4").select(text.first_words("text", 1).alias("w")).collect()} == {"fine"}
+    items = spark.createDataFrame([("h", "the ﬁne １２"), ("k", "FINE")], "h string, p string")
+    rows = spark.createDataFrame([(1, "see THE fine 12."), (2, "ﬁne")], "i long, text string")
+    found = similarity.containment(rows, items, "i", "text", "h", F.col("p")).collect()
+    assert {tuple(r)[:2] for r in found} in ({(1, "h"), (1, "k"), (2, "k")}, {("h", 1), ("k", 1), ("k", 2)})
+
+
 def test_text(spark):
     t = 'def f():\n    """Sum of a_b,  Straße ÉCOLE 12.\nassert f() == 1\nmore"""'
     assert one(spark, t, text.prompt_body("x")) == "Sum of a_b,  Straße ÉCOLE 12.\nmore"
