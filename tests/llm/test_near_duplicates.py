@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -89,6 +90,38 @@ def test_splitting_hot_parts_loses_no_pair(spark, monkeypatch):
     assert got == model(rows, 0.6, 3)
 
 
+def test_no_pair_of_small_sets_is_lost():
+    rng = np.random.default_rng(6)
+    sets, want = [], set()
+    for k in range(3000):
+        # Five runs, three of them in the other set: a likeness of exactly 0.6.
+        base = rng.integers(0, 1 << 63, 5, dtype=np.uint64)
+        sets += [np.sort(base), np.sort(base[:3])]
+        want.add((2 * k, 2 * k + 1))
+    begin = np.cumsum([0] + [len(x) for x in sets])
+    high, low = S.fingerprints(np.concatenate(sets), begin)
+    map_high, map_low = S.bitmaps(np.concatenate(sets), begin)
+    columns = [np.repeat(np.arange(3000), 2), np.arange(6000), np.diff(begin).astype(np.int32), high, low, map_high, map_low]
+    columns = [c if c.dtype == np.int32 else c.view(np.int64) for c in columns]
+    batch = pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=list(S.PART_COLUMNS))
+    got = {(r["key_a"], r["key_b"]) for out in S._close_pairs(0.6)(iter([batch])) for r in out.to_pylist()}
+    assert got == want
+
+
+@pytest.mark.parametrize("pairs_at_once", [7, 1 << 20])
+def test_small_pairs_against_brute_force(monkeypatch, pairs_at_once):
+    monkeypatch.setattr(S, "SLICE", pairs_at_once)
+    rng = np.random.default_rng(pairs_at_once)
+    sets = [np.unique(rng.choice(np.arange(1, 90, dtype=np.uint64), rng.integers(1, 80))) for _ in range(120)]
+    begin = np.cumsum([0] + [len(x) for x in sets])
+    group = np.sort(rng.integers(0, 4, 120))
+    found = list(S.small_pairs(group, np.diff(begin), np.stack(S.bitmaps(np.concatenate(sets), begin)), 0.6))
+    got = [(min(x, y), max(x, y)) for a, b in found for x, y in zip(a.tolist(), b.tolist())]
+    likeness = lambda x, y: len(np.intersect1d(x, y)) / len(np.union1d(x, y))
+    alike = {(x, y) for y in range(120) for x in range(y) if group[x] == group[y] and likeness(sets[x], sets[y]) >= 0.6 and min(len(sets[x]), len(sets[y])) < S.SMALL}
+    assert alike <= set(got) and len(got) == len(set(got)) and all(group[x] == group[y] for x, y in got)
+
+
 def test_chain_is_one_component(spark):
     links = spark.createDataFrame([(f"n{k:03d}", f"n{k + 1:03d}") for k in range(40)] + [("x", "y")], "a string, b string")
     got = {r.node: r.component for r in S.components(links).collect()}
