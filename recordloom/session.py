@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import atexit
 import tempfile
 import uuid
 
@@ -39,22 +38,34 @@ def shared_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir()
 
 
-def _remove(spark: SparkSession, path: str) -> None:
-    try:
-        jvm = spark.sparkContext._jvm
-        target = jvm.org.apache.hadoop.fs.Path(path)
-        target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
-    except Exception:  # the session may be gone at exit
-        pass
+def file_system(spark: SparkSession, path: str):
+    """The Hadoop file system of a path, and the path for it."""
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), target
 
 
-def new_table_path(spark: SparkSession, label: str) -> str:
-    """A fresh path in the shared folder, removed when the driver exits."""
-    path = f"{shared_dir(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
-    atexit.register(_remove, spark, path)
+def _session_dir(spark: SparkSession) -> str:
+    """The folder of this application's tables in the shared folder, which the driver's JVM removes when it ends."""
+    path = f"{shared_dir(spark).rstrip('/')}/recordloom-{spark.sparkContext.applicationId}"
+    fs, target = file_system(spark, path)
+    if not fs.exists(target):
+        fs.mkdirs(target)
+        fs.deleteOnExit(target)
     return path
 
 
+def release_tables(spark: SparkSession) -> None:
+    """Remove the tables of all queries so far; their results must have been read."""
+    fs, target = file_system(spark, _session_dir(spark))
+    for entry in fs.listStatus(target):
+        fs.delete(entry.getPath(), True)
+
+
+def new_table_path(spark: SparkSession, label: str) -> str:
+    """A fresh path in the shared folder, removed at the end of the application or by ``release_tables``."""
+    return f"{_session_dir(spark)}/{label}-{uuid.uuid4().hex}"
+
+
 def materialize(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` once to the shared folder and read it back: cuts lineage, and survives lost executors."""
     spark = df.sparkSession

@@ -70,3 +70,36 @@ def test_upserts_are_idempotent_and_any_split_gives_one_result(spark):
         store.compact()
     store.compact("second")
     assert sorted((r.o, r.n) for r in store.rows().collect()) == want
+    assert store.runs == ["second"]
+
+
+def test_a_store_is_opened_again_and_compaction_needs_no_exchange(spark):
+    rows = [(f"k{n % 5}", n * 7 % 13, n) for n in range(40)]
+    df = spark.createDataFrame(rows, "k string, o long, n long")
+    winners = sorted(min((o, n) for k2, o, n in rows if k2 == k) for k in {r[0] for r in rows})
+    path = new_table_path(spark, "t")
+    BucketedStore(spark, path, "k", ["o", "n"], [], 3).upsert(df, (df.n % 4).cast("string"))
+    store = BucketedStore(spark, path, "k", ["o", "n"], [], 3)  # as after a restart
+    assert store.runs == ["0", "1", "2", "3"]
+    plan = store._merged()._jdf.queryExecution().executedPlan().toString()
+    assert "Window" in plan and "Exchange" not in plan
+    store.compact()
+    assert store.runs == ["merged"]
+    assert sorted((r.o, r.n) for r in store.rows().collect()) == winners
+    lost = {(r.o, r.n) for r in store.collapsed().collect()}
+    assert lost == {(o, n) for _, o, n in rows} - set(winners)
+    store.upsert(df, "again")
+    store.compact("later")
+    assert sorted((r.o, r.n) for r in store.rows().collect()) == winners
+    assert {(r.o, r.n) for r in store.collapsed().collect()} == lost
+
+
+def test_files_are_one_for_each_bucket_and_run(spark):
+    df = spark.range(200).selectExpr("cast(id % 50 as string) AS k", "id AS o")
+    store = BucketedStore(spark, new_table_path(spark, "t"), "k", ["o"], [], 3)
+    store.upsert(df, "a")
+    files = spark.read.parquet(f"{store.path}/runs").selectExpr("input_file_name() AS f", "k", "c0 AS o")
+    assert files.select("f").distinct().count() == 3
+    for f in {r.f for r in files.collect()}:
+        ks = [(r.k, r.o) for r in spark.read.parquet(f).selectExpr("k", "c0 AS o").collect()]
+        assert ks == sorted(ks)
