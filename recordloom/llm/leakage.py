@@ -1,12 +1,14 @@
 """Passages of evaluation items inside a large corpus.
 
-Latent semantic retrieval: passages of the items become TF-IDF rows, with document frequencies counted over the whole
-corpus; a randomised SVD, whose products are summed over the distributed passages, gives the latent space; an item's
-query is folded back to weights of words in that space, so that the score of a corpus passage is the sum of its words'
-weights. Candidates are the passages whose score reaches the item's threshold, the least that any run of ``run`` words
-of the item scores by itself. Negative weights are cut off, so words around a leaked run cannot lower its score, and no
-passage with such a run is lost. Candidates are then decided exactly, and near misses are judged by the longest common
-subsequence and by the item's answers.
+Latent semantic retrieval. Passages of the corpus are TF-IDF rows over the words of the items, with document frequencies
+counted over all passages; a distributed randomised SVD of a bounded sample of these rows gives the latent space. The
+items' own passages are folded into it as queries. Corpus passages are candidates of an item by their cosine with its
+queries, and candidates are decided by comparing words: runs in a row, longest common subsequences and answers.
+
+Two cosine searches go over the corpus in one scan. The first looks at every stretch of ``run`` words, none of which is
+foreign to the items, and takes those that are as near to a query as the least near of the query's own runs: a verbatim
+run has that cosine in whatever space, so none is lost, and the better the space the fewer others come along. The second
+looks at longer passages, foreign words included, and takes those above a fixed cosine for the tests of reworded text.
 """
 
 from __future__ import annotations
@@ -17,213 +19,279 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from recordloom.llm.text import COUNTER_BLOCK, COUNTER_SCHEMA, RollingHash, counter_rows, ranges, statement, total_counts, words
+from recordloom.llm.text import array_rows, statement, total_arrays, words
+from recordloom.session import materialize
 
 #: Latent dimensions, and further random directions of the sketch.
-RANK, OVERSAMPLE = 256, 16
-#: Items and characters of one index, about; further items are searched in further blocks, each over the whole corpus.
-BLOCK_ITEMS, BLOCK_CHARS = 512, 1 << 18
-#: Words that are scored at once in a Python worker.
-CHUNK = 1 << 15
+RANK, OVERSAMPLE = 96, 16
+#: Columns of the TF-IDF rows at most: words of the items beyond that share columns.
+FEATURES = 1 << 16
+#: Corpus passages that the space is fitted to, about, and those that a task contributes at most.
+FIT_PASSAGES, FIT_TASK = 1 << 16, 1 << 10
+#: Characters of the items of one index, about: what is broadcast has a bound. Further items are searched in further scans.
+BLOCK_CHARS = 1 << 25
+#: Passages that are compared with the queries at once, and texts that are cut into words at once.
+CHUNK, TEXTS = 1 << 11, 256
+#: Rows of the sketch that travel together.
+SKETCH_ROWS = 64
 
 LEAK_SCHEMA = "doc_key string, heldout_key string, latent_cosine double, longest_run int, common_words int, common_share double, answer_found boolean"
+SCAN_SCHEMA = "kind string, hash long, block int, part int, counts binary"
 
 
 class Vocabulary:
-    """Words of some items by number; other words have the number ``size``."""
+    """Words of some items by number; other words have the number ``size``. A column stands for a word, or for several
+    once there are more than ``FEATURES``."""
 
     def __init__(self, texts: list[list[str]]):
         self.number = {w: i for i, w in enumerate(sorted({w for t in texts for w in t}))}
         self.size = len(self.number)
+        self.columns = min(self.size, FEATURES)
 
     def encode(self, texts: list[list[str]]) -> np.ndarray:
         get, other = self.number.get, self.size
         return np.fromiter((get(w, other) for t in texts for w in t), np.int64)
 
 
-def _document_frequencies(vocabulary, step: int):
-    """In how many passages of ``step`` words each word stands; the last counter is the number of passages."""
+def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, list[str], list[list[str]]]]:
+    for batch in batches:
+        for first in range(0, batch.num_rows, TEXTS):
+            part = batch.slice(first, TEXTS)
+            raw = part.column("text").to_pylist()
+            yield part, raw, [words(t) for t in raw]
+
+
+def _steps(lengths: np.ndarray, step: int) -> tuple[np.ndarray, np.ndarray]:
+    """First word and text of each ``step`` words of the texts; the last of a text may be shorter."""
+    per = -(-lengths // step)
+    text = np.repeat(np.arange(len(lengths)), per)
+    place = np.arange(len(text)) - np.repeat(np.cumsum(per) - per, per)
+    return (np.cumsum(lengths) - lengths)[text] + place * step, text
+
+
+def _scan(vocabulary, width: int):
+    """Passages of ``width`` words: in how many each column occurs, how many there are, and a sample of them by hash.
+
+    The sample of a task are the passages whose hash lies below a limit, halved whenever the sample gets too large.
+    """
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         voc = vocabulary.value
-        size = -(-(voc.size + 2) // COUNTER_BLOCK) * COUNTER_BLOCK
-        counts = np.zeros(size, np.int64)
-        for batch in batches:
-            for first in range(0, batch.num_rows, 256):
-                texts = [words(t) for t in batch.column("text").slice(first, 256).to_pylist()]
-                flat = voc.encode(texts)
-                passage, passages = _passages([len(t) for t in texts], step)
-                pairs = np.unique(passage * (voc.size + 1) + flat)
-                counts[: voc.size + 1] += np.bincount(pairs % (voc.size + 1), minlength=voc.size + 1)
-                counts[voc.size + 1] += passages
-        yield counter_rows(counts)
+        counts = np.zeros(voc.columns + 1, np.int64)
+        held: dict[int, bytes] = {}
+        limit = 1 << 63
+        for _, _, texts in _texts(batches):
+            flat = voc.encode(texts)
+            start, _ = _steps(np.array([len(t) for t in texts], np.int64), width)
+            if not len(start):
+                continue
+            passage = np.repeat(np.arange(len(start)), np.diff(np.append(start, len(flat))))
+            known = flat < voc.size
+            column = flat[known] % max(voc.columns, 1)
+            counts[:-1] += np.bincount(np.unique(passage[known] * (voc.columns + 1) + column) % (voc.columns + 1), minlength=voc.columns)[: voc.columns]
+            counts[-1] += len(start)
+            size = np.bincount(passage[known], minlength=len(start))
+            begin = np.cumsum(size) - size
+            for a, n in zip(begin.tolist(), size.tolist()):
+                ids = column[a : a + n].astype(np.int32).tobytes()
+                hashed = xxhash.xxh64_intdigest(ids) >> 1
+                if n and hashed < limit:
+                    held[hashed] = ids
+            while len(held) > FIT_TASK:
+                limit //= 2
+                held = {h: i for h, i in held.items() if h < limit}
+        rows = array_rows(np.zeros(1), [counts])
+        yield pa.RecordBatch.from_arrays([pa.array(["counts"]), pa.array([0]), *rows.columns], names=["kind", "hash", *rows.schema.names])
+        n = len(held)
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(["sample"] * n + ["limit"]), pa.array([*held, limit - 1]), pa.array([0] * (n + 1), pa.int32()),
+             pa.array([0] * (n + 1), pa.int32()), pa.array([*held.values(), b""], pa.binary())],
+            names=["kind", "hash", *rows.schema.names],
+        )
 
     return work
 
 
-def _passages(lengths: list[int], step: int) -> tuple[np.ndarray, int]:
-    """The number of the ``step``-word passage of each word, and how many passages there are."""
-    lengths = np.array(lengths, np.int64)
-    start = np.cumsum(lengths) - lengths
-    place = np.arange(int(lengths.sum())) - np.repeat(start, lengths)
-    per = -(-lengths // step)
-    return np.repeat(np.cumsum(per) - per, lengths) + place // step, int(per.sum())
-
-
-def randomised_svd(passages: DataFrame, size: int, rank: int) -> np.ndarray:
-    """Right singular vectors (``size`` x ``rank``) of the rows ``words array<int>, weights array<double>``.
+def randomised_svd(passages: DataFrame, idf: np.ndarray, rank: int) -> np.ndarray:
+    """Right singular vectors (columns x ``rank``) of the normalised TF-IDF rows ``ids binary`` (32-bit columns each).
 
-    Each task multiplies its rows with the sketch; the products are summed by row of the result, so the matrix itself is
-    never in one place. One power iteration sharpens the spectrum.
+    Each task multiplies its rows with the sketch; the products are summed over the tasks by rows of the result, so the
+    matrix itself is never in one place. Two power iterations sharpen the spectrum.
     """
-    spark = passages.sparkSession
+    spark, size = passages.sparkSession, len(idf)
     width = min(rank + OVERSAMPLE, size)
-    sketch = np.random.default_rng(7).standard_normal((size, width)).astype(np.float32)
-    values = None
-    for _ in range(2):
+    sketch = np.random.default_rng(7).standard_normal((size, width))
+    values = np.zeros(0)
+    for _ in range(3):
         sketch, _ = np.linalg.qr(sketch)
-        shared = spark.sparkContext.broadcast(sketch.astype(np.float32))
+        shared = spark.sparkContext.broadcast((sketch.astype(np.float32), idf.astype(np.float32)))
 
         def work(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            right = shared.value
-            total: dict[int, np.ndarray] = defaultdict(lambda: np.zeros(right.shape[1]))
+            right, weight = shared.value
+            total = np.zeros((-(-size // SKETCH_ROWS) * SKETCH_ROWS, right.shape[1]))
             for batch in batches:
-                for ids, weights in zip(batch.column("words").to_pylist(), batch.column("weights").to_pylist()):
-                    ids, weights = np.array(ids, np.int64), np.array(weights)
-                    row = weights @ right[ids]
-                    for i, w in zip(ids.tolist(), weights.tolist()):
-                        total[i] += w * row
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(list(total), pa.int32()), pa.array([v.tolist() for v in total.values()], pa.list_(pa.float64()))],
-                names=["word", "product"],
-            )
-
-        products = passages.mapInArrow(work, "word int, product array<double>")
-        # Element by element, so the partial sums of a task are combined before the exchange.
-        summed = products.select("word", F.posexplode("product").alias("k", "v")).groupBy("word", "k").agg(F.sum("v").alias("v"))
-        table = summed.toArrow()
-        sketch = np.zeros((size, width))
-        sketch[table.column("word").to_numpy(), table.column("k").to_numpy()] = table.column("v").to_numpy()
+                raw = batch.column("ids").to_pylist()
+                for first in range(0, len(raw), CHUNK):
+                    part = raw[first : first + CHUNK]
+                    ids = np.frombuffer(b"".join(part), np.int32)
+                    row = np.repeat(np.arange(len(part)), [len(x) // 4 for x in part])
+                    # Of equal entries of a row one stands for all, with their number.
+                    cell, times = np.unique(row * size + ids, return_counts=True)
+                    row, ids = cell // size, cell % size
+                    value = times * weight[ids]
+                    value /= np.maximum(np.sqrt(np.bincount(row, value**2, minlength=len(part))), 1e-9)[row]
+                    head = np.flatnonzero(np.append(True, row[1:] != row[:-1])[: len(row)])
+                    products = np.add.reduceat(right[ids] * value[:, None], head, axis=0)
+                    by = np.argsort(ids, kind="stable")
+                    head = np.flatnonzero(np.append(True, np.diff(ids[by]) > 0)[: len(ids)])
+                    place = np.searchsorted(np.unique(row), row)
+                    total[ids[by][head]] += np.add.reduceat(products[place[by]] * value[by][:, None], head, axis=0)
+            blocks = total.reshape(-1, SKETCH_ROWS, right.shape[1])
+            used = np.flatnonzero(blocks.any(axis=(1, 2)))
+            yield array_rows(used, blocks[used])
+
+        sketch = np.zeros((-(-size // SKETCH_ROWS) * SKETCH_ROWS, width))
+        for block, product in total_arrays(passages.mapInArrow(work, "block int, part int, counts binary"), np.float64).items():
+            sketch[block * SKETCH_ROWS : (block + 1) * SKETCH_ROWS] = product.reshape(SKETCH_ROWS, width)
+        sketch = sketch[:size]
         shared.unpersist()
         # Columns are A'A q: their norms stand for squared singular values.
-        left, values, _ = np.linalg.svd(sketch, full_matrices=False)
-        sketch = left
+        sketch, values, _ = np.linalg.svd(sketch, full_matrices=False)
     keep = values > 1e-9 * max(float(values[0]) if len(values) else 0.0, 1e-300)
     return sketch[:, keep][:, :rank].astype(np.float32)
 
 
 class LatentIndex:
-    """Word weights of each item in the latent space, thresholds, and the exact runs of the items."""
-
-    def __init__(self, texts: list[list[str]], vocabulary: Vocabulary, idf: np.ndarray, space: np.ndarray, run: int):
-        self.run, self.vocabulary, self.space = run, vocabulary, np.vstack([space, np.zeros((1, space.shape[1]), np.float32)])
-        self.idf = np.append(idf, 0.0).astype(np.float32)
-        size = vocabulary.size
-        encoded = [np.array([vocabulary.number[w] for w in t], np.int64) for t in texts]
-        queries = np.zeros((size, len(texts)), np.float32)
-        for k, ids in enumerate(encoded):
-            queries[ids, k] = self.idf[ids]
-        latent = space.T @ queries
-        self.latent, self.norms = np.ascontiguousarray(latent.T), np.linalg.norm(latent, axis=0)
-        folded = space @ latent * self.idf[:size, None]
-        self.weights = np.vstack([np.maximum(folded, 0), np.zeros((1, len(texts)), np.float32)]).astype(np.float32)
-        self.thresholds = np.full(len(texts), np.inf, np.float32)
-        hashes, owners = [], []
-        for k, ids in enumerate(encoded):
-            if len(ids) < run:
-                continue
-            sums = np.concatenate([[0], np.cumsum(self.weights[ids, k], dtype=np.float64)])
-            # A little less, for rounding.
-            self.thresholds[k] = (sums[run:] - sums[:-run]).min() * 0.999 - 1e-6
-            start = np.arange(len(ids) - run + 1)
-            mine = np.unique(RollingHash(ids).of(start, start + run))
-            hashes.append(mine)
-            owners.append(np.full(len(mine), k))
-        hashes = np.concatenate(hashes) if hashes else np.zeros(0, np.uint64)
-        owners = np.concatenate(owners) if owners else np.zeros(0, np.int64)
-        order = np.argsort(hashes, kind="stable")
-        self.run_hashes, self.run_items = hashes[order], owners[order]
-        # The most that one word can add to any item, as a share of the item's threshold.
-        with np.errstate(divide="ignore", invalid="ignore"):
-            share = np.where(np.isfinite(self.thresholds), self.weights / np.maximum(self.thresholds, 1e-9), 0)
-        self.most = share.max(axis=1) if share.shape[1] else np.zeros(size + 1)
-        self.texts = encoded
-
-    def candidates(self, flat: np.ndarray, lengths: list[int]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Text, first word, item and score of passages that reach an item's threshold.
-
-        Passages are two neighbouring steps of ``run`` words, so every run of that length lies inside one of them.
-        """
-        step, passages = _passages(lengths, self.run)
-        none = np.zeros(0, np.int64)
-        if not passages or not len(self.run_hashes):
-            return none, none, none, np.zeros(0)
-        owner = np.repeat(np.arange(len(lengths)), [-(-n // self.run) for n in lengths])
-        last = np.append(owner[1:] != owner[:-1], True)
-        # A bound from one number per word leaves out most passages before any item is looked at.
-        bound = np.bincount(step, self.most[flat], minlength=passages)
-        both = bound.copy()
-        both[:-1] += np.where(last[:-1], 0, bound[1:])
-        live = both >= 1
-        need = live.copy()
-        need[1:] |= live[:-1] & ~last[:-1]
-        known = (flat < self.vocabulary.size) & need[step]
-        ids, steps = flat[known], step[known]
-        out = []
-        starts = np.flatnonzero(np.append(True, steps[1:] != steps[:-1])) if len(steps) else none
-        table = np.cumsum(np.bincount(steps, minlength=passages))
-        first_of = np.concatenate([[0], table])
-        begin = 0
-        used = steps[starts] if len(starts) else none
-        while begin < len(used):
-            # As many steps as fit a chunk; the last one is scored again as the first of the next chunk.
-            stop = max(begin + 1, int(np.searchsorted(first_of[used], first_of[used[begin]] + CHUNK)))
-            here = used[begin:stop]
-            a, b = first_of[here[0]], first_of[here[-1] + 1]
-            sums = np.add.reduceat(self.weights[ids[a:b]], first_of[here] - a, axis=0)
-            after = np.zeros_like(sums)
-            joined = (here[1:] == here[:-1] + 1) & (owner[here[1:]] == owner[here[:-1]])
-            after[:-1][joined] = sums[1:][joined]
-            # A step whose neighbour has no known words stands alone.
-            done = len(here) if stop >= len(used) else len(here) - 1
-            total = sums + after
-            row, item = np.nonzero(total[:done] >= self.thresholds)
-            out.append((here[row], item, total[row, item]))
-            begin = stop if stop >= len(used) else max(stop - 1, begin + 1)
-        if not out:
-            return none, none, none, np.zeros(0)
-        passage = np.concatenate([x[0] for x in out])
-        item = np.concatenate([x[1] for x in out])
-        score = np.concatenate([x[2] for x in out])
-        size = np.array(lengths, np.int64)
-        per = -(-size // self.run)
-        text = owner[passage]
-        word = (np.cumsum(size) - size)[text] + (passage - (np.cumsum(per) - per)[text]) * self.run
-        return text, word, item, score
-
-    def exact(self, flat: np.ndarray, lengths: list[int], text: np.ndarray, word: np.ndarray, item: np.ndarray) -> np.ndarray:
-        """Whether the candidate passage holds one of the item's runs."""
-        hit = np.zeros(len(text), bool)
-        if not len(text) or len(flat) < self.run:
-            return hit
-        ends = np.cumsum(np.array(lengths, np.int64))
-        starts = np.unique(word)
-        count = np.full(len(starts), self.run + 1)
-        position = ranges(starts, count)
-        whose = np.repeat(np.searchsorted(ends, starts, "right"), count)
-        inside = position + self.run <= ends[whose]
-        position, start = position[inside], np.repeat(starts, count)[inside]
-        hashes = RollingHash(flat).of(position, position + self.run)
-        low = np.searchsorted(self.run_hashes, hashes, "left")
-        high = np.searchsorted(self.run_hashes, hashes, "right")
-        found = high > low
-        start, low, high = start[found], low[found], high[found]
-        items = self.run_items[ranges(low, high - low)]
-        have = np.unique(np.repeat(start, high - low) * len(self.texts) + items)
-        return np.isin(word * len(self.texts) + item, have)
+    """The items' passages as queries in the latent space, with the words that decide about candidates."""
+
+    def __init__(self, texts: list[list[str]], vocabulary: Vocabulary, idf: np.ndarray, space: np.ndarray, foreign: float, run: int):
+        self.run, self.vocabulary, self.items = run, vocabulary, len(texts)
+        column = np.arange(vocabulary.size) % max(vocabulary.columns, 1)
+        self.space = (space * idf[:, None])[column].astype(np.float32)
+        #: Squared length that a word adds to a passage outside the space: a foreign word all of its own.
+        self.beside = np.append(np.zeros(vocabulary.size), foreign**2)
+        self.texts = [np.array([vocabulary.number[w] for w in t], np.int64) for t in texts]
+        self.length = np.array([len(t) for t in texts], np.int64)
+        self.begin = np.cumsum(self.length) - self.length
+        self.flat = np.concatenate([*self.texts, np.zeros(run, np.int64)])
+        #: Queries of the two searches: those of runs begin every half run and hold the runs that begin before the next.
+        self.step = max(1, run // 2)
+        self.run_item, self.run_start, self.runs = self._queries(run + self.step - 1, self.step, run)
+        self.long_item, self.long_start, self.longs = self._queries(2 * run, run, 1)
+        self.thresholds = np.ones(len(self.run_item), np.float32)
+        end = (self.begin + self.length)[self.run_item]
+        for k in range(self.step):
+            inside = self.run_start + k + run <= end
+            own = self.vectors(self.run_start[inside] + k, self.flat)
+            size = np.linalg.norm(own, axis=1)
+            near = np.einsum("ij,ij->i", own, self.runs[inside]) / np.maximum(size, 1e-12)
+            self.thresholds[inside] = np.minimum(self.thresholds[inside], np.where(size > 0, near, -1))
+        # A little less, for rounding.
+        self.thresholds -= np.float32(1e-4)
+        # Words of the items by item and word, and at which places they stand, for the subsequences.
+        key = np.repeat(np.arange(self.items), self.length) * (vocabulary.size + 1) + self.flat[: int(self.length.sum())]
+        place = np.arange(len(key)) - np.repeat(self.begin, self.length)
+        self.mark_keys, which = np.unique(key, return_inverse=True)
+        self.mark_bits = np.zeros((max(1, -(-int(self.length.max(initial=0)) // 64)), len(self.mark_keys) + 1), np.uint64)
+        np.bitwise_or.at(self.mark_bits, (place // 64, which), np.uint64(1) << (place % 64).astype(np.uint64))
+
+    def marks(self, item: np.ndarray, word: np.ndarray, lanes: int) -> np.ndarray:
+        """The places of words in items, as bits."""
+        key = item * (self.vocabulary.size + 1) + word
+        at = np.searchsorted(self.mark_keys, key)
+        at[at < len(self.mark_keys)] = np.where(
+            self.mark_keys[at[at < len(self.mark_keys)]] == key[at < len(self.mark_keys)], at[at < len(self.mark_keys)], len(self.mark_keys)
+        )
+        return self.mark_bits[:lanes, at]
+
+    def _queries(self, width: int, step: int, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Item, first word and unit vector of an item passage every ``step`` words, of those with ``least`` words."""
+        start, item = _steps(self.length, step)
+        end = (self.begin + self.length)[item]
+        keep = start + least <= end
+        if least == 1:
+            keep &= (start == self.begin[item]) | (start + width - step < end)
+        start, item, end = start[keep], item[keep], end[keep]
+        vectors = np.zeros((len(start), self.space.shape[1]), np.float32)
+        for k in range(width):
+            inside = start + k < end
+            vectors[inside] += self.space[self.flat[start[inside] + k]]
+        return item, start, vectors / np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), 1e-12)
+
+    def vectors(self, start: np.ndarray, flat: np.ndarray) -> np.ndarray:
+        """Vectors of the runs of known words that begin at some places."""
+        out = np.zeros((len(start), self.space.shape[1]), np.float32)
+        for k in range(self.run):
+            out += self.space[flat[start + k]]
+        return out
+
+    def near_runs(self, flat: np.ndarray, lengths: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """First word and query of runs of known words that are as near to a query as its own runs."""
+        if len(flat) < self.run or not len(self.run_item):
+            return
+        foreign = np.concatenate([[0], np.cumsum(flat == self.vocabulary.size)])
+        ends = np.repeat(np.cumsum(lengths), lengths)[: len(flat) - self.run + 1]
+        start = np.arange(len(ends))
+        start = start[(start + self.run <= ends) & (foreign[self.run :] == foreign[: -self.run])]
+        for first in range(0, len(start), CHUNK):
+            at = start[first : first + CHUNK]
+            own = self.vectors(at, flat)
+            size = np.linalg.norm(own, axis=1)
+            own /= np.maximum(size, 1e-12)[:, None]
+            row, query = np.nonzero(own @ self.runs.T >= self.thresholds)
+            yield at[row], query
+
+    def same_run(self, flat: np.ndarray, at: np.ndarray, query: np.ndarray) -> np.ndarray:
+        """Whether the run is, word by word, one of the runs of the query."""
+        hit = np.zeros(len(at), bool)
+        end = (self.begin + self.length)[self.run_item[query]]
+        for k in range(self.step):
+            start = self.run_start[query] + k
+            same = start + self.run <= end
+            for j in range(self.run):
+                left = np.flatnonzero(same)
+                same[left] = flat[at[left] + j] == self.flat[np.minimum(start[left] + j, len(self.flat) - 1)]
+            hit |= same
+        return hit
+
+    def near_passages(self, flat: np.ndarray, lengths: np.ndarray, cosine: float) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+        """Text, first word, item and cosine of passages of two steps of ``run`` words above a cosine with an item."""
+        start, text = _steps(lengths, self.run)
+        if not len(start) or not len(self.long_item):
+            return
+        known = flat < self.vocabulary.size
+        step = np.repeat(np.arange(len(start)), np.diff(np.append(start, len(flat))))
+        beside = np.bincount(step, self.beside[flat], minlength=len(start))
+        size = np.bincount(step[known], minlength=len(start))
+        begin = np.cumsum(size) - size
+        ids = flat[known]
+        joined = np.append(text[1:] == text[:-1], False)
+        for first in range(0, len(start), CHUNK):
+            last = min(first + CHUNK, len(start))
+            stop = min(last + 1, len(start))
+            some = ids[begin[first] : begin[stop - 1] + size[stop - 1]]
+            sums = np.zeros((stop - first, self.space.shape[1]), np.float32)
+            full = np.flatnonzero(size[first:stop])
+            if len(full):
+                sums[full] = np.add.reduceat(self.space[some], begin[first:stop][full] - begin[first], axis=0)
+            own, other = sums[: last - first].copy(), beside[first:last].copy()
+            both = np.flatnonzero(joined[first:last])
+            own[both] += sums[both + 1]
+            other[both] += beside[first:stop][both + 1]
+            norm = np.sqrt(np.square(own).sum(axis=1) + other)
+            live = np.flatnonzero(np.linalg.norm(own, axis=1) >= cosine * norm)
+            likeness = own[live] @ self.longs.T / np.maximum(norm[live], 1e-12)[:, None]
+            row, query = np.nonzero(likeness >= cosine)
+            # Of several queries of an item the nearest counts.
+            cell = live[row] * self.items + self.long_item[query]
+            order = np.lexsort((-likeness[row, query], cell))
+            head = order[np.append(True, np.diff(cell[order]) > 0)[: len(order)]]
+            step_no = first + live[row[head]]
+            yield text[step_no], start[step_no], self.long_item[query[head]], likeness[row[head], query[head]]
 
 
 def common_subsequence(a: list[int], b: list[int]) -> int:
@@ -238,6 +306,35 @@ def common_subsequence(a: list[int], b: list[int]) -> int:
     return len(a) - row.bit_count()
 
 
+def common_subsequences(ix: "LatentIndex", item: np.ndarray, flat: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Length of the longest common subsequence of items and stretches of words, many at once by bit parallel rows.
+
+    A row of bits stands for the words of an item; sums carry over from lane to lane of 64 bits.
+    """
+    lanes = max(1, -(-int(ix.length[item].max(initial=0)) // 64))
+    ones = np.uint64(0xFFFFFFFFFFFFFFFF)
+    row = np.full((lanes, len(item)), ones)
+    for k in range(int((end - begin).max(initial=0))):
+        live = np.flatnonzero(begin + k < end)
+        marks = ix.marks(item[live], flat[begin[live] + k], lanes)
+        carry = np.zeros(len(live), np.uint64)
+        for lane in range(lanes):
+            now = row[lane, live]
+            both = now & marks[lane]
+            total = now + both
+            over = total < now
+            total += carry
+            over |= total < carry
+            carry = over.astype(np.uint64)
+            row[lane, live] = total | (now & ~marks[lane])
+    out = np.zeros(len(item), np.int64)
+    for lane in range(lanes):
+        bits = np.clip(ix.length[item] - 64 * lane, 0, 64)
+        used = np.where(bits == 64, ones, (np.uint64(1) << np.minimum(bits, 63).astype(np.uint64)) - np.uint64(1))
+        out += np.bitwise_count(~row[lane] & used)
+    return out
+
+
 def longest_common_run(a: list[int], b: list[int], other: int) -> int:
     """Length of the longest run of words that stands in both; the word ``other`` matches nothing."""
     where: dict[int, list[int]] = defaultdict(list)
@@ -251,33 +348,33 @@ def longest_common_run(a: list[int], b: list[int], other: int) -> int:
     return best
 
 
-def _collect_items(heldout: DataFrame, heldout_id: str, prompt: str, answers: list[str]) -> tuple[DataFrame, int]:
-    items = heldout.select(F.col(heldout_id).cast("string").alias("k"), F.col(prompt).alias("p"), *answers)
+def _item_blocks(heldout: DataFrame, heldout_id: str, prompt: str, *more: Column) -> Iterator[list]:
+    """The items in blocks of about ``BLOCK_CHARS`` characters; a held-out table mostly is one block."""
+    items = heldout.select(F.col(heldout_id).cast("string").alias("k"), F.col(prompt).alias("p"), *more)
     items = items.filter(F.col("k").isNotNull() & F.col("p").isNotNull()).distinct()
-    size = items.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.length("p")), F.lit(0)).alias("chars")).first()
-    return items, max(1, -(-size.n // BLOCK_ITEMS), -(-size.chars // BLOCK_CHARS))
+    chars = items.agg(F.coalesce(F.sum(F.length("p")), F.lit(0)).alias("chars")).first().chars
+    blocks = max(1, -(-chars // BLOCK_CHARS))
+    for k in range(blocks):
+        yield items.filter(F.pmod(F.xxhash64("k", "p"), F.lit(blocks)) == k).orderBy("k", "p").collect()
 
 
 def _index(corpus: DataFrame, texts: list[list[str]], run: int) -> LatentIndex:
+    """Document frequencies over all passages of the corpus, the space of a sample of them, and the items in it."""
     spark = corpus.sparkSession
     vocabulary = Vocabulary(texts)
     shared = spark.sparkContext.broadcast(vocabulary)
-    size = -(-(vocabulary.size + 2) // COUNTER_BLOCK) * COUNTER_BLOCK
-    counts = total_counts(corpus.select("text").mapInArrow(_document_frequencies(shared, run), COUNTER_SCHEMA), size)
-    idf = np.log((1.0 + counts[vocabulary.size + 1]) / (1.0 + counts[: vocabulary.size]))
-    rows = []
-    for t in texts:
-        ids = [vocabulary.number[w] for w in t]
-        for at in range(0, max(1, len(ids) - run), run):
-            part, times = np.unique(ids[at : at + 2 * run], return_counts=True)
-            weights = times * idf[part]
-            norm = np.linalg.norm(weights)
-            if norm:
-                rows.append((part.tolist(), (weights / norm).tolist()))
-    if not rows:
-        return LatentIndex(texts, vocabulary, idf, np.zeros((vocabulary.size, 1), np.float32), run)
-    passages = spark.createDataFrame(rows, "words array<int>, weights array<double>")
-    return LatentIndex(texts, vocabulary, idf, randomised_svd(passages, vocabulary.size, RANK), run)
+    scan = materialize(corpus.select("text").mapInArrow(_scan(shared, 2 * run), SCAN_SCHEMA), "passages")
+    counts = total_arrays(scan.filter("kind = 'counts'").select("block", "part", "counts")).get(0)
+    if counts is None or not counts[-1]:
+        counts = np.ones(vocabulary.columns + 1, np.int64)
+    idf = np.log((1.0 + counts[-1]) / (1.0 + counts[:-1])) + 1e-3
+    limit = scan.filter("kind = 'limit'").agg(F.min("hash")).first()[0]
+    wanted = min(limit if limit is not None else 0, int((1 << 63) * min(1.0, FIT_PASSAGES / max(int(counts[-1]), 1))) - 1)
+    sample = scan.filter((F.col("kind") == "sample") & (F.col("hash") <= wanted)).select(F.col("counts").alias("ids"))
+    space = randomised_svd(sample, idf, RANK) if vocabulary.size else np.zeros((0, 1), np.float32)
+    if vocabulary.size and not space.shape[1]:
+        space = np.zeros((vocabulary.columns, 1), np.float32)
+    return LatentIndex(texts, vocabulary, idf, space, float(np.log(1.0 + counts[-1])), run)
 
 
 def _documents(corpus: DataFrame, doc_id: str | Column, text: str | Column) -> DataFrame:
@@ -286,6 +383,18 @@ def _documents(corpus: DataFrame, doc_id: str | Column, text: str | Column) -> D
     return rows.filter(F.col("text").isNotNull() & F.col("doc_key").isNotNull())
 
 
+def _verbatim(ix: LatentIndex, flat: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
+    """Text, first word and item of all runs that stand in an item, and the candidates that were looked at."""
+    out, looked = [(np.zeros(0, np.int64),) * 3], 0
+    ends = np.cumsum(lengths)
+    for at, query in ix.near_runs(flat, lengths):
+        looked += len(at)
+        hit = ix.same_run(flat, at, query)
+        at, query = at[hit], query[hit]
+        out.append((np.searchsorted(ends, at, "right"), at, ix.run_item[query]))
+    return *(np.concatenate([x[k] for x in out]) for k in range(3)), looked
+
+
 def leaked_passages(
     corpus: DataFrame,
     heldout: DataFrame,
@@ -297,37 +406,30 @@ def leaked_passages(
 ) -> DataFrame:
     """``doc_key, heldout_key``: the document has ``run`` consecutive words of the item's statement.
 
-    The items are collected in blocks of about ``BLOCK_ITEMS`` and ``BLOCK_CHARS`` at most, each searched over the whole corpus; documents are never
-    shuffled. Defined cases: null ids and texts take no part; a statement with fewer than ``run`` words is in no
-    document; repeated rows give one pair; documents may be of any length; other columns are ignored.
+    The corpus is scanned twice, for the space and for the search, and never shuffled. Defined cases: null ids and texts
+    take no part; a statement with fewer than ``run`` words is in no document; repeated rows give one pair; documents
+    may be of any length; other columns are ignored.
     """
     rows = _documents(corpus, doc_id, text)
-    items, blocks = _collect_items(heldout, heldout_id, prompt, [])
     found = None
-    for k in range(blocks):
-        block = items.filter(F.pmod(F.xxhash64("k", "p"), F.lit(blocks)) == k).orderBy("k", "p").collect()
+    for block in _item_blocks(heldout, heldout_id, prompt):
         names = [r.k for r in block]
         index = rows.sparkSession.sparkContext.broadcast(_index(rows, [words(statement(r.p)) for r in block], run))
 
         def work(batches: Iterator[pa.RecordBatch], index=index, names=names) -> Iterator[pa.RecordBatch]:
             ix = index.value
-            for batch in batches:
-                for first in range(0, batch.num_rows, 256):
-                    part = batch.slice(first, 256)
-                    texts = [words(t) for t in part.column("text").to_pylist()]
-                    lengths = [len(t) for t in texts]
-                    flat = ix.vocabulary.encode(texts)
-                    own, word, item, _ = ix.candidates(flat, lengths)
-                    hit = ix.exact(flat, lengths, own, word, item)
-                    pairs = np.unique(own[hit] * len(names) + item[hit])
-                    keys = part.column("doc_key").to_pylist()
-                    yield pa.RecordBatch.from_arrays(
-                        [
-                            pa.array([keys[i] for i in (pairs // len(names)).tolist()], pa.string()),
-                            pa.array([names[i] for i in (pairs % len(names)).tolist()], pa.string()),
-                        ],
-                        names=["doc_key", "heldout_key"],
-                    )
+            for part, _, texts in _texts(batches):
+                flat, lengths = ix.vocabulary.encode(texts), np.array([len(t) for t in texts], np.int64)
+                own, _, item, _ = _verbatim(ix, flat, lengths)
+                pairs = np.unique(own * max(len(names), 1) + item)
+                keys = part.column("doc_key").to_pylist()
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array([keys[i] for i in (pairs // max(len(names), 1)).tolist()], pa.string()),
+                        pa.array([names[i] for i in (pairs % max(len(names), 1)).tolist()], pa.string()),
+                    ],
+                    names=["doc_key", "heldout_key"],
+                )
 
         part = rows.mapInArrow(work, "doc_key string, heldout_key string")
         found = part if found is None else found.unionByName(part)
@@ -354,25 +456,20 @@ def leak_report(
 ) -> DataFrame:
     """Documents with a passage of an item, verbatim or reworded.
 
-    A pair comes out when any candidate passage has ``run`` words of the item in a row, or a latent cosine of at least
-    ``cosine`` while the surroundings of the passage hold, in order, at least ``share`` of the statement's words (longest
-    common subsequence). Its figures are the largest of all candidate passages of a pair with such a run, and of all
-    passages that pass the two tests of another pair. ``answer_found`` tells whether the document names the item's function together with
-    one of its expected values. Cases as in ``leaked_passages``.
+    A pair comes out when the document has ``run`` words of the item in a row, or a passage with a cosine of at least
+    ``cosine`` whose surroundings hold, in order, at least ``share`` of the statement's words (longest common
+    subsequence). Its figures are the largest of all its passages. ``answer_found`` tells whether the document names the
+    item's function together with one of its expected values. Cases as in ``leaked_passages``.
     """
     rows = _documents(corpus, doc_id, text)
-    items, blocks = _collect_items(heldout, heldout_id, prompt, [F.col(entry_point).alias("e"), F.col(assertion).alias("a")])
     found = None
-    for k in range(blocks):
-        block = items.filter(F.pmod(F.xxhash64("k", "p"), F.lit(blocks)) == k).orderBy("k", "p").collect()
+    for block in _item_blocks(heldout, heldout_id, prompt, F.col(entry_point).alias("e"), F.col(assertion).alias("a")):
         facts = [(r.k, r.e, answers_of(r.a)) for r in block]
         index = rows.sparkSession.sparkContext.broadcast(_index(rows, [words(statement(r.p)) for r in block], run))
 
         def work(batches: Iterator[pa.RecordBatch], index=index, facts=facts) -> Iterator[pa.RecordBatch]:
-            ix = index.value
-            for batch in batches:
-                for first in range(0, batch.num_rows, 256):
-                    yield _report(ix, facts, batch.slice(first, 256), share, cosine)
+            for part, raw, texts in _texts(batches):
+                yield _report(index.value, facts, part, raw, texts, share, cosine)
 
         part = rows.mapInArrow(work, LEAK_SCHEMA)
         found = part if found is None else found.unionByName(part)
@@ -381,52 +478,41 @@ def leak_report(
     )
 
 
-def _report(ix: LatentIndex, facts: list, part: pa.RecordBatch, share: float, cosine: float) -> pa.RecordBatch:
-    raw = part.column("text").to_pylist()
-    texts = [words(t) for t in raw]
-    lengths = [len(t) for t in texts]
-    flat = ix.vocabulary.encode(texts)
-    own, word, item, _ = ix.candidates(flat, lengths)
-    order = np.lexsort((item, word))
-    own, word, item = own[order], word[order], item[order]
-    hit = ix.exact(flat, lengths, own, word, item)
-    verbatim = set(np.unique((own * len(facts) + item)[hit]).tolist())
-    ends = np.cumsum(np.array(lengths, np.int64))
-    # The vector of a passage is the same for all its items.
-    head = np.flatnonzero(np.append(True, word[1:] != word[:-1])[: len(word)])
-    items_of = np.diff(np.append(head, len(word)))
-    likeness = np.zeros(len(word))
-    for first in range(0, len(head), 2048):
-        at = head[first : first + 2048]
-        count = np.minimum(ends[own[at]] - word[at], 2 * ix.run)
-        ids = flat[ranges(word[at], count)]
-        begin = np.cumsum(count) - count
-        vectors = np.add.reduceat(ix.space[ids] * ix.idf[ids][:, None], begin, axis=0)
-        size = np.linalg.norm(vectors, axis=1)
-        many = items_of[first : first + 2048]
-        passage = np.repeat(np.arange(len(at)), many)
-        for k in range(0, len(passage), 2048):
-            near = passage[k : k + 2048]
-            rows = slice(at[0] + k, at[0] + k + len(near))
-            norm = size[near] * ix.norms[item[rows]]
-            likeness[rows] = np.einsum("ij,ij->i", vectors[near], ix.latent[item[rows]]) / np.maximum(norm, 1e-9)
-    # Every passage of a verbatim pair counts; of other pairs those that pass both tests.
-    out, answered = [], {}
-    for d, w, h, c in zip(own.tolist(), word.tolist(), item.tolist(), likeness.tolist()):
-        certain = d * len(facts) + h in verbatim
-        if not certain and c < cosine:
-            continue
-        query = ix.texts[h].tolist()
-        begin, end = int(ends[d]) - lengths[d], int(ends[d])
-        near = flat[max(begin, w - len(query)) : min(end, w + len(query) + 2 * ix.run)].tolist()
-        common = common_subsequence(query, near)
-        if not certain and common < share * len(query):
-            continue
-        if (d, h) not in answered:
-            _, entry, answers = facts[h]
-            answered[d, h] = bool(entry) and entry in raw[d] and any(re.search(rf"(?<!\w){re.escape(a)}(?!\w)", raw[d]) for a in answers)
-        length = longest_common_run(query, near, ix.vocabulary.size)
-        out.append((part.column("doc_key")[d].as_py(), facts[h][0], round(c, 6), length, common, round(common / len(query), 6), answered[d, h]))
+def _report(ix: LatentIndex, facts: list, part: pa.RecordBatch, raw: list[str], texts: list[list[str]], share: float, cosine: float) -> pa.RecordBatch:
+    flat, lengths = ix.vocabulary.encode(texts), np.array([len(t) for t in texts], np.int64)
+    ends = np.cumsum(lengths)
+    own, at, item, _ = _verbatim(ix, flat, lengths)
+    # Of the runs of a pair those that no run before overlaps: their surroundings hold the others.
+    certain: dict[tuple[int, int], list[tuple[int, float]]] = defaultdict(list)
+    for d, w, h in sorted(set(zip(own.tolist(), at.tolist(), item.tolist()))):
+        if not certain[d, h] or w >= certain[d, h][-1][0] + ix.run:
+            certain[d, h].append((w, 0.0))
+    near = [np.concatenate(x) for x in zip(*ix.near_passages(flat, lengths, cosine))] or [np.zeros(0, np.int64)] * 4
+    known = [(d, w, h, 0.0) for (d, h), places in certain.items() for w, _ in places]
+    more = [np.array(x) for x in zip(*known)] or [np.zeros(0, np.int64)] * 4
+    # Places of runs and passages, with the length of the item's longest subsequence around each.
+    own, at, item, likeness = (np.concatenate([x, y]) for x, y in zip(near, more))
+    own, at, item = own.astype(np.int64), at.astype(np.int64), item.astype(np.int64)
+    begin = np.maximum(ends[own] - lengths[own], at - ix.length[item])
+    end = np.minimum(ends[own], at + ix.length[item] + 2 * ix.run)
+    common = np.zeros(len(own), np.int64)
+    for first in range(0, len(own), 4 * CHUNK):
+        part_of = slice(first, first + 4 * CHUNK)
+        common[part_of] = common_subsequences(ix, item[part_of], flat, begin[part_of], end[part_of])
+    verbatim = np.isin(own * ix.items + item, [d * ix.items + h for d, h in certain])
+    keep = np.flatnonzero(verbatim | (common >= share * ix.length[item]))
+    best: dict[tuple[int, int], tuple] = {}
+    for i in keep.tolist():
+        key = int(own[i]), int(item[i])
+        length = longest_common_run(ix.texts[key[1]].tolist(), flat[begin[i] : end[i]].tolist(), ix.vocabulary.size)
+        mine = float(likeness[i]), length, int(common[i])
+        best[key] = tuple(map(max, best[key], mine)) if key in best else mine
+    out = []
+    for (d, h), (cosine_of, length, shared) in best.items():
+        _, entry, answers = facts[h]
+        answered = bool(entry) and entry in raw[d] and any(re.search(rf"(?<!\w){re.escape(a)}(?!\w)", raw[d]) for a in answers)
+        size = int(ix.length[h])
+        out.append((part.column("doc_key")[d].as_py(), facts[h][0], round(cosine_of, 6), length, shared, round(shared / size, 6), answered))
     columns = list(zip(*out)) or [()] * 7
     types = (pa.string(), pa.string(), pa.float64(), pa.int32(), pa.int32(), pa.float64(), pa.bool_())
     names = [x.split(" ")[0] for x in LEAK_SCHEMA.split(", ")]

@@ -4,12 +4,13 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 WORD = re.compile(r"\w+")
 #: The marks that may enclose the statement of a held-out item.
@@ -120,34 +121,62 @@ COUNTER_SCHEMA = "block int, part int, counts binary"
 
 def counter_rows(counts: np.ndarray) -> pa.RecordBatch:
     """The blocks of an array of counters that are not all zero, as an Arrow batch of ``COUNTER_SCHEMA``."""
-    context = TaskContext.get()
-    part = context.partitionId() % 64 if context else 0
     blocks = counts.astype(np.int64).reshape(-1, COUNTER_BLOCK)
     used = np.flatnonzero(blocks.any(axis=1))
+    return array_rows(used, blocks[used])
+
+
+def array_rows(keys: np.ndarray, values: np.ndarray) -> pa.RecordBatch:
+    """One row for each key with the array that stands for it in this task, as an Arrow batch of ``COUNTER_SCHEMA``."""
+    context = TaskContext.get()
+    part = context.partitionId() % 64 if context else 0
     return pa.RecordBatch.from_arrays(
         [
-            pa.array(used.astype(np.int32)),
-            pa.array(np.full(len(used), part, np.int32)),
-            pa.array([blocks[k].tobytes() for k in used], pa.binary()),
+            pa.array(keys.astype(np.int32)),
+            pa.array(np.full(len(keys), part, np.int32)),
+            pa.array([v.tobytes() for v in values], pa.binary()),
         ],
         names=["block", "part", "counts"],
     )
 
 
-def _summed(pdf: pd.DataFrame) -> pd.DataFrame:
-    total = np.zeros(COUNTER_BLOCK, np.int64)
-    for b in pdf["counts"]:
-        total += np.frombuffer(b, np.int64)
-    return pd.DataFrame({"block": pdf["block"].iloc[:1], "part": [0], "counts": [total.tobytes()]})
+def _summed(dtype):
+    """Adds arrays of equal keys as they stream by: a task holds one array a key, however many tasks sent one."""
 
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: dict[tuple[int, int], np.ndarray] = {}
+        for batch in batches:
+            for block, part, counts in zip(*rows_of(batch, "block", "part", "counts")):
+                values = np.frombuffer(counts, dtype)
+                if (block, part) in total:
+                    total[block, part] += values
+                else:
+                    total[block, part] = values.copy()
+        yield pa.RecordBatch.from_arrays(
+            [
+                pa.array([k[0] for k in total], pa.int32()),
+                pa.array([k[1] for k in total], pa.int32()),
+                pa.array([v.tobytes() for v in total.values()], pa.binary()),
+            ],
+            names=["block", "part", "counts"],
+        )
 
-def total_counts(rows: DataFrame, size: int) -> np.ndarray:
-    """Sum of the counters of all tasks, in two steps so that no group grows with the number of tasks alone.
+    return work
+
+
+def total_arrays(rows: DataFrame, dtype=np.int64) -> dict[int, np.ndarray]:
+    """Sum of the arrays of each block over all tasks, in two steps so that no task reads what all tasks sent of a block.
 
-    The result has a fixed size, whatever the data.
+    What comes back has the size of the arrays, whatever the data.
     """
-    halves = rows.groupBy("block", "part").applyInPandas(_summed, COUNTER_SCHEMA)
+    halves = rows.repartition("block", "part").mapInArrow(_summed(dtype), COUNTER_SCHEMA)
+    whole = halves.select("block", F.lit(0).alias("part"), "counts").repartition("block").mapInArrow(_summed(dtype), COUNTER_SCHEMA)
+    return {r.block: np.frombuffer(r.counts, dtype) for r in whole.collect()}
+
+
+def total_counts(rows: DataFrame, size: int) -> np.ndarray:
+    """Sum of the counters of all tasks, of a fixed size."""
     total = np.zeros(size, np.int64)
-    for r in halves.groupBy("block").applyInPandas(_summed, COUNTER_SCHEMA).collect():
-        total[r.block * COUNTER_BLOCK : (r.block + 1) * COUNTER_BLOCK] = np.frombuffer(r.counts, np.int64)
+    for block, counts in total_arrays(rows).items():
+        total[block * COUNTER_BLOCK : (block + 1) * COUNTER_BLOCK] = counts
     return total

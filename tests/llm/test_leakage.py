@@ -49,7 +49,7 @@ def test_random_against_brute_force(spark, seed, monkeypatch):
             w += v[a : a + rng.randrange(3, 16)] + text(rng.randrange(0, 20))
         docs.append((i, " ".join(w)))
     if seed == 1:
-        monkeypatch.setattr(S, "BLOCK_ITEMS", 5)
+        monkeypatch.setattr(S, "BLOCK_CHARS", 900)
     if seed == 2:
         monkeypatch.setattr(S, "CHUNK", 16)
         monkeypatch.setattr(S, "RANK", 4)
@@ -114,13 +114,54 @@ def test_longest_common_sequences():
         assert S.longest_common_run(a, b, 99) == runs
 
 
+def test_many_subsequences_at_once():
+    import numpy as np
+
+    rng = random.Random(6)
+    texts = [[f"{rng.randrange(9)}" for _ in range(rng.choice([0, 3, 63, 64, 65, 150]))] for _ in range(12)]
+    voc = S.Vocabulary(texts)
+    ix = S.LatentIndex(texts, voc, np.ones(voc.columns), np.eye(voc.columns, dtype=np.float32), 1.0, 4)
+    flat = np.array([rng.randrange(voc.size + 1) for _ in range(500)])
+    item = np.array([rng.randrange(12) for _ in range(80)])
+    begin = np.array([rng.randrange(400) for _ in range(80)])
+    end = begin + np.array([rng.randrange(100) for _ in range(80)])
+    got = S.common_subsequences(ix, item, flat, begin, end)
+    want = [S.common_subsequence([voc.number[w] for w in texts[i]], [x for x in flat[a:b].tolist()]) for i, a, b in zip(item, begin, end)]
+    assert got.tolist() == want
+
+
 def test_singular_vectors(spark):
     import numpy as np
 
     rng = np.random.default_rng(0)
-    low = rng.standard_normal((60, 4)) @ rng.standard_normal((4, 25))
-    rows = [(list(range(25)), r.tolist()) for r in low]
-    passages = spark.createDataFrame(rows, "words array<int>, weights array<double>")
-    space = S.randomised_svd(passages, 25, 4)
-    assert space.shape == (25, 4)
-    assert np.allclose(low @ space @ space.T, low, atol=1e-3)
+    # Rows of two kinds of words: two directions hold all but a little of them.
+    rows = [np.concatenate([rng.choice(12, 8), [24]]) if k % 2 else 12 + rng.choice(12, 8) for k in range(200)]
+    passages = spark.createDataFrame([(bytearray(r.astype(np.int32).tobytes()),) for r in rows], "ids binary")
+    idf = np.linspace(1, 2, 25)
+    space = S.randomised_svd(passages, idf, 6)
+    a = np.zeros((200, 25))
+    for k, r in enumerate(rows):
+        np.add.at(a[k], r, idf[r])
+    a /= np.linalg.norm(a, axis=1, keepdims=True)
+    want = np.linalg.svd(a)[2][:2].T
+    assert space.shape == (25, 6)
+    assert np.allclose(np.abs(space[:, :2].T @ want), np.eye(2), atol=1e-2)
+
+
+def test_reworded_passages_against_brute_force(spark):
+    """Passages of items with a sixth of the words replaced, in texts of other words: nine of ten must come out."""
+    rng = random.Random(8)
+    common = [f"c{k}" for k in range(150)]
+    held = [(f"h{k}", " ".join(rng.choices(common, k=50) + [f"own{k}x{n}" for n in range(6)])) for k in range(20)]
+    docs, want = [], set()
+    for i in range(120):
+        text = rng.choices(common, k=60)
+        if i % 2:
+            k = rng.randrange(20)
+            w = [x if rng.random() > 1 / 6 else f"alias{rng.randrange(50)}" for x in words(held[k][1])]
+            text = text[:20] + w + text[20:]
+            want.add((str(i), f"h{k}"))
+        docs.append((i, " ".join(text)))
+    a, b = frames(spark, docs, held)
+    got = {(r.doc_key, r.heldout_key) for r in S.leak_report(a, b).collect()}
+    assert len(got & want) >= 0.9 * len(want)
