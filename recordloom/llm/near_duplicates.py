@@ -1,13 +1,16 @@
 """Groups of records that share most of their content but for small edits.
 
-Records become sets of hashed word runs. Records with equal sets form a class, and only classes are compared. Each
-class has a fingerprint of 128 bits, one bit of the smallest element under each of 128 permutations, so that the
-likeness of two sets shows in the bits in which their fingerprints differ. At the radius that a likeness of 0.6 needs a
-single hierarchical index over all fingerprints prunes next to nothing, so the classes are first parted: each class
-goes to the parts of its rarest runs, as many as make certain that two classes above the threshold meet in at least
-one (a lossless prefix filter). In each part the Gray-order hierarchical index prunes groups and pairs by accumulated
-differences, and what is left is decided exactly. The bits of small sets hang together, so pairs with a small set do
-not rely on fingerprints: in their part only a bound that loses nothing leaves pairs out before the exact check.
+Records become sets of hashed word runs. Records with equal sets form a class, and only classes are compared. A class has
+a fingerprint of 128 bits, one bit of the smallest element under each of 128 permutations, so that the likeness of two
+sets shows in the bits in which their fingerprints differ; a small set, whose bits would hang together, has the map of
+its elements' bits instead, whose differences bound those of the sets.
+
+At a likeness of 0.6 alike fingerprints differ in so many bits that an index over them alone prunes nothing. The codes of
+the index are therefore a rare word run of the class, on which two codes must agree, followed by the fingerprint, in
+which they may differ: a class is entered under each of its rarest runs, as many as make certain that two classes above
+the threshold share one. All codes are sorted by Gray rank and dealt to tasks by ranges of it; in a task the
+Gray-order index factors the bits that neighbours share into upper nodes and prunes pairs of nodes, with all below them,
+by accumulated differences. What is left is decided exactly.
 """
 
 from __future__ import annotations
@@ -31,12 +34,13 @@ BITS = 128
 MARGIN = 5.2
 #: Runs of the smaller set below which a pair does not rely on fingerprints.
 SMALL = 64
-#: Pairs with a small set that are looked at at once.
-SLICE = 1 << 20
-#: log2 of the counters that order word runs by their frequency; their size does not grow with the data.
-SKETCH_BITS = 18
-#: Classes that one part compares; the parts of a more frequent run are split into blocks.
+#: log2 of the counters that order word runs by their frequency, from least to most: they grow with the runs, and what is
+#: broadcast of them is a byte each. Only the order of runs hangs on them; frequent codes are counted exactly.
+SKETCH_BITS = (16, 22)
+#: Classes under one run that are compared at once; those of a more frequent run are split into blocks.
 PART = 1 << 14
+#: Codes of one index, about.
+CODES = 1 << 16
 #: Copies of one text, byte by byte, that are written as pairs each; of more copies the first stands for all in pairs.
 EXPANDED = 32
 
@@ -44,8 +48,8 @@ _RNG = np.random.default_rng(20)
 MULTIPLIERS = _RNG.integers(0, 1 << 63, BITS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 SET_SCHEMA = "record_id string, class_key long, text_key long, size int, high long, low long, map_high long, map_low long, runs binary"
-PART_SCHEMA = "part long, class_key long, size int, high long, low long, map_high long, map_low long"
-PART_COLUMNS = tuple(c.split(" ")[0] for c in PART_SCHEMA.split(", "))
+CODE_SCHEMA = "run long, class_key long, size int, high long, low long, map_high long, map_low long"
+CODE_COLUMNS = tuple(c.split(" ")[0] for c in CODE_SCHEMA.split(", "))
 
 
 def radius(threshold: float) -> int:
@@ -98,35 +102,6 @@ def bitmaps(hashes: np.ndarray, begin: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return lanes[0], lanes[1]
 
 
-def small_pairs(group: np.ndarray, size: np.ndarray, maps: np.ndarray, threshold: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Positions of pairs of one group, the smaller set below ``SMALL``, but for those whose bits rule the likeness out.
-
-    Each bit that only one of two sets has stands for an element that the other lacks, so the bits bound what both
-    share from above. ``maps`` has one row for each lane; ``group`` counts from 0.
-    """
-    order = np.lexsort((size, group))
-    n = size[order].astype(np.int64)
-    # Behind a set stand those of its group that are not smaller; it meets them up to the largest that can be alike.
-    most = np.minimum(np.floor((n + 1e-9) / threshold).astype(np.int64), np.iinfo(np.int32).max)
-    place = group[order].astype(np.int64) << 32
-    count = np.searchsorted(place + n, place + most, "right") - np.arange(len(n)) - 1
-    count[n >= SMALL] = 0
-    total = np.concatenate([[0], np.cumsum(count)])
-    first = 0
-    while first < len(n):
-        last = max(first + 1, int(np.searchsorted(total, total[first] + SLICE, "right")) - 1)
-        mine = count[first:last]
-        a = np.repeat(np.arange(first, last), mine)
-        b = ranges(np.arange(first, last) + 1, mine)
-        x, y = maps[:, order[a]], maps[:, order[b]]
-        shared = np.minimum(
-            n[a] - np.bitwise_count(x & ~y).sum(axis=0, dtype=np.int64), n[b] - np.bitwise_count(y & ~x).sum(axis=0, dtype=np.int64)
-        )
-        keep = shared >= threshold * (n[a] + n[b] - shared) - 1e-9
-        yield order[a[keep]], order[b[keep]]
-        first = last
-
-
 def _sets(run: int):
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -162,97 +137,127 @@ def _sets(run: int):
     return work
 
 
-def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    counts = np.zeros(1 << SKETCH_BITS, np.int64)
-    for batch in batches:
-        hashes = np.frombuffer(b"".join(batch.column("runs").to_pylist()), np.uint64)
-        counts += np.bincount((hashes >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), minlength=len(counts))
-    yield counter_rows(counts)
+def _sketch(bits: int):
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = np.zeros(1 << bits, np.int64)
+        for batch in batches:
+            hashes = np.frombuffer(b"".join(batch.column("runs").to_pylist()), np.uint64)
+            counts += np.bincount((hashes >> np.uint64(64 - bits)).astype(np.int64), minlength=len(counts))
+        yield counter_rows(counts)
+
+    return work
 
 
 def frequencies(sets: DataFrame) -> np.ndarray:
-    """Counters of all word runs of all records, of a fixed size."""
-    return total_counts(sets.select("runs").mapInArrow(_sketch, COUNTER_SCHEMA), 1 << SKETCH_BITS)
+    """Size classes (eighths of powers of two, a byte each) of the counters of all word runs of all records."""
+    total = sets.agg(F.coalesce(F.sum("size"), F.lit(0)).alias("n")).first().n
+    bits = min(max(int(total).bit_length() + 1, SKETCH_BITS[0]), SKETCH_BITS[1])
+    counts = total_counts(sets.select("runs").mapInArrow(_sketch(bits), COUNTER_SCHEMA), 1 << bits)
+    return np.minimum(np.floor(8 * np.log2(1.0 + counts)), 255).astype(np.uint8)
 
 
 def _rarest(counts, threshold: float):
-    """Each class with its rarest runs; copies of a class leave a task once."""
+    """Each class under its rarest runs; copies of a class leave an Arrow batch once."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[int] = set()
         table = counts.value
+        shift = np.uint64(64 - (len(table).bit_length() - 1))
         for batch in batches:
-            keys = batch.column("class_key").to_pylist()
-            fresh = [i for i, k in enumerate(keys) if k not in seen and not seen.add(k)]
-            if not fresh:
-                continue
-            batch = batch.take(pa.array(fresh))
+            _, fresh = np.unique(batch.column("class_key").to_numpy(), return_index=True)
+            batch = batch.take(pa.array(np.sort(fresh)))
             size = batch.column("size").to_numpy().astype(np.int64)
             hashes = np.frombuffer(b"".join(batch.column("runs").to_pylist()), np.uint64)
             owner = np.repeat(np.arange(len(size)), size)
-            count = table[(hashes >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)]
-            order = np.lexsort((hashes, count, owner))
-            begin = np.cumsum(size) - size
+            order = np.lexsort((hashes, table[(hashes >> shift).astype(np.int64)], owner))
             take = size - np.ceil(threshold * size - 1e-9).astype(np.int64) + 1
-            picked = order[ranges(begin, take)]
-            part, own = hashes[picked], owner[picked]
-            # A run that may be frequent: its classes are split into blocks, and each pair of blocks is a part.
-            splits = np.maximum(1, -(-count[picked] // PART))
-            key = np.repeat(part, splits)
-            row = np.repeat(own, splits)
-            many = np.repeat(splits, splits).astype(np.uint64)
-            mine = mix(batch.column("class_key").to_numpy().view(np.uint64))[row] % many
-            other = (np.arange(len(key)) - np.repeat(np.cumsum(splits) - splits, splits)).astype(np.uint64)
-            cell = np.minimum(mine, other) * many + np.maximum(mine, other)
-            key = np.where(many > 1, mix(key + (cell + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)), key)
-            take = pa.array(row)
-            columns = [batch.column(c).take(take) for c in PART_COLUMNS[1:]]
-            yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), *columns], names=list(PART_COLUMNS))
+            picked = order[ranges(np.cumsum(size) - size, take)]
+            rows = pa.array(owner[picked])
+            columns = [batch.column(c).take(rows) for c in CODE_COLUMNS[1:]]
+            yield pa.RecordBatch.from_arrays([pa.array(hashes[picked].view(np.int64)), *columns], names=list(CODE_COLUMNS))
 
     return work
 
 
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Codes of a frequent run: its classes are split into blocks, and each pair of blocks gets a run of its own."""
+    for batch in batches:
+        many = -(-batch.column("classes").to_numpy() // PART)
+        row = np.repeat(np.arange(batch.num_rows), many)
+        other = ranges(np.zeros(batch.num_rows, np.int64), many).astype(np.uint64)
+        many = many[row].astype(np.uint64)
+        mine = mix(batch.column("class_key").to_numpy().view(np.uint64))[row] % many
+        cell = np.minimum(mine, other) * many + np.maximum(mine, other)
+        run = batch.column("run").to_numpy().view(np.uint64)[row]
+        run = mix(run + (cell + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15))
+        rows = pa.array(row)
+        columns = [batch.column(c).take(rows) for c in CODE_COLUMNS[1:]]
+        yield pa.RecordBatch.from_arrays([pa.array(run.view(np.int64)), *columns], names=list(CODE_COLUMNS))
+
+
+def gray_column(run: Column) -> Column:
+    """Rank of a 64-bit word in the Gray code."""
+    for shift in (1, 2, 4, 8, 16, 32):
+        run = run.bitwiseXOR(F.shiftrightunsigned(run, shift))
+    return run
+
+
+def index_pairs(codes: dict[str, np.ndarray], threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Positions of pairs of codes that share their run and are close, and what the indexes tested, pruned and spared."""
+    size = codes["size"].astype(np.int64)
+    lanes = lambda *names: np.stack([codes[n].view(np.uint64) for n in names])
+    found, figures = [], np.zeros(3, np.int64)
+    # Sets that differ in d elements have maps that differ in at most d bits, and alike sets differ in few elements.
+    share = (1 - threshold) / (1 + threshold)
+    for small in (False, True):
+        members = np.flatnonzero(size * threshold < SMALL + 1e-9 if small else size >= SMALL)
+        if len(members) < 2:
+            continue
+        if small:
+            index = GrayIndex(lanes("run", "map_high", "map_low")[:, members], size[members] * share + 1e-6)
+        else:
+            index = GrayIndex(lanes("run", "high", "low")[:, members], np.full(len(members), radius(threshold) / 2))
+        a, b = (members[x] for x in index.pairs())
+        low, high = np.minimum(size[a], size[b]), np.maximum(size[a], size[b])
+        keep = (low >= threshold * high - 1e-9) & ((low < SMALL) == small)
+        found.append((a[keep], b[keep]))
+        figures += (index.tested, index.pruned, index.spared)
+    none = np.zeros(0, np.int64)
+    return np.concatenate([none, *(x for x, _ in found)]), np.concatenate([none, *(y for _, y in found)]), figures
+
+
 def _close_pairs(threshold: float):
-    """Pairs of classes that meet in a part and are close by fingerprint and size; rows come sorted by part."""
-    limit = radius(threshold)
-
-    def compare(part, key, size, high, low, map_high, map_low) -> pa.RecordBatch:
-        new = np.ones(len(part), bool)
-        new[1:] = (part[1:] != part[:-1]) | (key[1:] != key[:-1])
-        part, key, size, high, low, map_high, map_low = (x[new] for x in (part, key, size, high, low, map_high, map_low))
-        group = np.cumsum(np.concatenate([[0], part[1:] != part[:-1]])) if len(part) else part
-        several = np.bincount(group)[group] > 1 if len(part) else np.zeros(0, bool)
-        group, key, size, high, low, map_high, map_low = (x[several] for x in (group, key, size, high, low, map_high, map_low))
-        big = np.flatnonzero(size >= SMALL)
-        a, b = GrayIndex(group[big], high[big].view(np.uint64), low[big].view(np.uint64)).pairs_within(limit)
-        a, b = big[a], big[b]
-        small, large = np.minimum(size[a], size[b]), np.maximum(size[a], size[b])
-        near = small >= threshold * large - 1e-9
-        maps = np.stack([map_high.view(np.uint64), map_low.view(np.uint64)])
-        found = [(a[near], b[near]), *small_pairs(group, size, maps, threshold)]
-        a, b = np.concatenate([x for x, _ in found]), np.concatenate([y for _, y in found])
-        x, y = key[a], key[b]
+    """Pairs of classes with close codes; rows come sorted by the Gray rank of their run and by class."""
+
+    def compare(codes: dict[str, np.ndarray]) -> pa.RecordBatch:
+        run, key = codes["run"], codes["class_key"]
+        new = np.ones(len(run), bool)
+        new[1:] = (run[1:] != run[:-1]) | (key[1:] != key[:-1])
+        codes = {c: x[new] for c, x in codes.items()}
+        a, b, _ = index_pairs(codes, threshold)
+        x, y = codes["class_key"][a], codes["class_key"][b]
         pairs = np.unique(np.stack([np.minimum(x, y), np.maximum(x, y)]), axis=1) if len(x) else np.zeros((2, 0), np.int64)
         return pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], names=["key_a", "key_b"])
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
-        names = PART_COLUMNS
+        size = 0
         for batch in batches:
             if not batch.num_rows:
                 continue
             held.append(batch)
-            last = batch.column("part")[-1].as_py()
-            if held[0].column("part")[0].as_py() == last:
-                continue  # one part, so far
+            size += batch.num_rows
+            last = batch.column("run")[-1].as_py()
+            if size < CODES or held[0].column("run")[0].as_py() == last:
+                continue
             whole = pa.Table.from_batches(held).combine_chunks()
-            columns = [whole.column(n).to_numpy() for n in names]
-            cut = int(np.searchsorted(columns[0], last))
-            yield compare(*(c[:cut] for c in columns))
+            columns = {n: whole.column(n).to_numpy() for n in CODE_COLUMNS}
+            cut = int(np.flatnonzero(columns["run"] != last)[-1]) + 1
+            yield compare({n: c[:cut] for n, c in columns.items()})
             held = whole.slice(cut).to_batches()
+            size = whole.num_rows - cut
         if held:
             whole = pa.Table.from_batches(held)
-            yield compare(*(whole.column(n).to_numpy() for n in names))
+            yield compare({n: whole.column(n).to_numpy() for n in CODE_COLUMNS})
 
     return work
 
@@ -288,10 +293,17 @@ def similar_classes(sets: DataFrame, threshold: float) -> DataFrame:
     """``key_a, key_b, likeness`` of all pairs of classes with at least the likeness, smaller key first."""
     spark = sets.sparkSession
     counts = spark.sparkContext.broadcast(frequencies(sets))
-    rows = sets.mapInArrow(_rarest(counts, threshold), PART_SCHEMA)
-    parted = rows.repartition("part").sortWithinPartitions("part", "class_key")
+    codes = materialize(sets.mapInArrow(_rarest(counts, threshold), CODE_SCHEMA), "codes")
+    # Counted exactly; there are at most as many frequent runs as codes by PART.
+    hot = codes.groupBy("run").agg(F.count("*").alias("classes")).filter(F.col("classes") > PART)
+    if not hot.isEmpty():
+        hot = materialize(hot, "frequent-runs")
+        split = codes.join(hot, "run").select(*CODE_COLUMNS, "classes").mapInArrow(_blocks, CODE_SCHEMA)
+        codes = codes.join(hot, "run", "left_anti").select(*CODE_COLUMNS).unionByName(split)
+    rank = gray_column(F.col("run"))
+    sorted_codes = codes.repartition(F.shiftright(rank, 44)).sortWithinPartitions(rank, "class_key")
     pairs = materialize(
-        parted.mapInArrow(_close_pairs(threshold), "key_a long, key_b long").distinct(), "close-pairs"
+        sorted_codes.mapInArrow(_close_pairs(threshold), "key_a long, key_b long").distinct(), "close-pairs"
     )
     # One record stands for each class that is in a pair.
     first = sets.groupBy("class_key").agg(F.min("record_id").alias("record_id"))
@@ -333,15 +345,16 @@ def near_duplicate_pairs(
     )
 
 
-def components(links: DataFrame, rounds: int = 50) -> DataFrame:
+def components(links: DataFrame) -> DataFrame:
     """``node, component`` of the nodes in ``links(a, b)``: the smallest node of each connected set.
 
     Each round gives every node the smallest label among its neighbours and then follows the label's own label; both
-    are joins, and the labels are written to the shared folder after each round.
+    are joins, and the labels are written to the shared folder after each round. A label only ever falls, so the rounds
+    end.
     """
     both = materialize(links.select("a", "b").union(links.select("b", "a")).distinct(), "links")
     labels = materialize(both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("label")).withColumnRenamed("a", "node"), "labels")
-    for _ in range(rounds):
+    while True:
         seen = both.join(labels.withColumnRenamed("node", "b"), "b").groupBy("a").agg(F.min("label").alias("near"))
         step = labels.join(seen.withColumnRenamed("a", "node"), "node").select(
             "node", "label", F.least("label", "near").alias("next")
@@ -355,29 +368,35 @@ def components(links: DataFrame, rounds: int = 50) -> DataFrame:
         labels = fresh.select("node", F.col("new").alias("label"))
         if not changed:
             return labels.withColumnRenamed("label", "component")
-    raise RuntimeError(f"labels still change after {rounds} rounds")
 
 
 def near_duplicate_groups(
     records: DataFrame, record_id: str | Column, text: Column, threshold: float = 0.8, run: int = 5
 ) -> DataFrame:
-    """One row per record with a word run: its group, the members of its class and the links of its class.
+    """One row per record with a word run: its group, its class, the members of the class and the links of the class.
 
-    ``group_id`` is the smallest record id among the classes that links connect; ``copies`` counts the records with an
-    equal set of runs, ``links`` the other classes with at least the likeness. Cases as in ``near_duplicate_pairs``.
+    ``group_id`` is the smallest record id among the classes that links connect, ``class_id`` that of the records with an
+    equal set of runs and ``text_id`` that of those with an equal text; ``copies`` counts the records with an equal set,
+    ``links`` the other classes with at least the likeness. With ``text_id`` the pairs in which a text's first record
+    stands for its copies are those of all of them. Cases as in ``near_duplicate_pairs``.
     """
     sets = record_sets(records, record_id, text, run)
     found = materialize(similar_classes(sets, threshold), "class-links")
-    members = sets.select("record_id", "class_key").distinct()
+    members = sets.select("record_id", "class_key", "text_key").distinct()
     sizes = materialize(
-        members.groupBy("class_key").agg(F.count("*").alias("copies"), F.min("record_id").alias("first")), "classes"
+        members.groupBy("class_key").agg(F.countDistinct("record_id").alias("copies"), F.min("record_id").alias("first")), "classes"
     )
+    texts = members.groupBy("class_key", "text_key").agg(F.min("record_id").alias("text_id"))
     name = lambda s: sizes.select(F.col("class_key").alias(f"key_{s}"), F.col("first").alias(s))
     named = materialize(found.join(name("a"), "key_a").join(name("b"), "key_b").select("a", "b"), "named-links")
     degree = named.select("a").union(named.select("b")).groupBy("a").agg(F.count("*").alias("links"))
     classes = (
         sizes.join(degree.withColumnRenamed("a", "first"), "first", "left")
         .join(components(named).withColumnRenamed("node", "first"), "first", "left")
-        .select("class_key", "copies", F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("component", "first").alias("group_id"))
+        .select(
+            "class_key", F.col("first").alias("class_id"), "copies",
+            F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("component", "first").alias("group_id"),
+        )
     )
-    return members.join(classes, "class_key").select("record_id", "group_id", "copies", "links")
+    whole = members.join(texts, ["class_key", "text_key"]).join(classes, "class_key")
+    return whole.groupBy("record_id").agg(*[F.min(c).alias(c) for c in ("group_id", "class_id", "text_id", "copies", "links")])

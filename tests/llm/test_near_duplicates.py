@@ -56,8 +56,11 @@ def test_cases(spark):
     df = frame(spark, rows)
     got = {(r.id_a, r.id_b) for r in S.near_duplicate_pairs(df, "i", F.col("t"), 0.6, 3).collect()}
     assert got == {("a", "b"), ("long", "long2")}
-    groups = {r.record_id: (r.group_id, r.copies, r.links) for r in S.near_duplicate_groups(df, "i", F.col("t"), 0.6, 3).collect()}
-    assert groups == {"a": ("a", 2, 0), "b": ("a", 2, 0), "long": ("long", 2, 0), "long2": ("long", 2, 0)}
+    rows = S.near_duplicate_groups(df, "i", F.col("t"), 0.6, 3).collect()
+    groups = {r.record_id: (r.group_id, r.class_id, r.text_id, r.copies, r.links) for r in rows}
+    assert groups == {
+        "a": ("a", "a", "a", 2, 0), "b": ("a", "a", "b", 2, 0), "long": ("long", "long", "long", 2, 0), "long2": ("long", "long", "long2", 2, 0),
+    }
 
 
 def test_empty_table(spark):
@@ -101,25 +104,38 @@ def test_no_pair_of_small_sets_is_lost():
     begin = np.cumsum([0] + [len(x) for x in sets])
     high, low = S.fingerprints(np.concatenate(sets), begin)
     map_high, map_low = S.bitmaps(np.concatenate(sets), begin)
-    columns = [np.repeat(np.arange(3000), 2), np.arange(6000), np.diff(begin).astype(np.int32), high, low, map_high, map_low]
+    columns = [np.repeat(np.arange(3000), 2) * 77, np.arange(6000), np.diff(begin).astype(np.int32), high, low, map_high, map_low]
     columns = [c if c.dtype == np.int32 else c.view(np.int64) for c in columns]
-    batch = pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=list(S.PART_COLUMNS))
+    batch = pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=list(S.CODE_COLUMNS))
     got = {(r["key_a"], r["key_b"]) for out in S._close_pairs(0.6)(iter([batch])) for r in out.to_pylist()}
     assert got == want
 
 
-@pytest.mark.parametrize("pairs_at_once", [7, 1 << 20])
-def test_small_pairs_against_brute_force(monkeypatch, pairs_at_once):
-    monkeypatch.setattr(S, "SLICE", pairs_at_once)
-    rng = np.random.default_rng(pairs_at_once)
-    sets = [np.unique(rng.choice(np.arange(1, 90, dtype=np.uint64), rng.integers(1, 80))) for _ in range(120)]
+def test_maps_of_small_sets_against_brute_force():
+    rng = np.random.default_rng(9)
+    sets = [np.unique(rng.choice(np.arange(1, 90, dtype=np.uint64), rng.integers(1, 80))) for _ in range(200)]
     begin = np.cumsum([0] + [len(x) for x in sets])
-    group = np.sort(rng.integers(0, 4, 120))
-    found = list(S.small_pairs(group, np.diff(begin), np.stack(S.bitmaps(np.concatenate(sets), begin)), 0.6))
-    got = [(min(x, y), max(x, y)) for a, b in found for x, y in zip(a.tolist(), b.tolist())]
+    run = np.sort(rng.integers(0, 4, 200))
+    high, low = S.fingerprints(np.concatenate(sets), begin)
+    map_high, map_low = S.bitmaps(np.concatenate(sets), begin)
+    codes = {"run": run, "size": np.diff(begin), "high": high, "low": low, "map_high": map_high, "map_low": map_low}
+    a, b, _ = S.index_pairs(codes, 0.6)
+    got = [(min(x, y), max(x, y)) for x, y in zip(a.tolist(), b.tolist())]
     likeness = lambda x, y: len(np.intersect1d(x, y)) / len(np.union1d(x, y))
-    alike = {(x, y) for y in range(120) for x in range(y) if group[x] == group[y] and likeness(sets[x], sets[y]) >= 0.6 and min(len(sets[x]), len(sets[y])) < S.SMALL}
-    assert alike <= set(got) and len(got) == len(set(got)) and all(group[x] == group[y] for x, y in got)
+    alike = {(x, y) for y in range(200) for x in range(y) if run[x] == run[y] and likeness(sets[x], sets[y]) >= 0.6 and min(len(sets[x]), len(sets[y])) < S.SMALL}
+    assert alike <= set(got) and len(got) == len(set(got)) and all(run[x] == run[y] for x, y in got)
+
+
+def test_the_index_prunes_groups():
+    rng = np.random.default_rng(11)
+    run = np.repeat(rng.integers(0, 1 << 63, 4000, dtype=np.uint64), 3)
+    prints = rng.integers(0, 1 << 63, (2, 12000), dtype=np.uint64)
+    index = GrayIndex(np.stack([run, *prints]), np.full(12000, 24.5))
+    a, b = index.pairs()
+    assert (run[a] == run[b]).all()
+    every = 12000 * 11999 // 2
+    # Of all pairs of codes next to none were looked at: their nodes were pruned.
+    assert index.spared > 0.99 * every and index.tested < 40 * 12000
 
 
 def test_chain_is_one_component(spark):
@@ -130,12 +146,17 @@ def test_chain_is_one_component(spark):
 
 def test_gray_rank_orders_neighbours():
     codes = np.array([k ^ (k >> 1) for k in range(64)], np.uint64)
-    _, rank = gray_rank(np.zeros(64, np.uint64), codes)
-    assert rank.tolist() == list(range(64))
-    high, low = gray_rank(np.array([3], np.uint64), np.array([0], np.uint64))
+    assert gray_rank(np.stack([np.zeros(64, np.uint64), codes]))[1].tolist() == list(range(64))
+    high, low = gray_rank(np.array([[3], [0]], np.uint64))
     assert (int(high[0]) << 64 | int(low[0])) == 2 << 64
 
 
+def test_ranks_of_spark_and_numpy_agree(spark):
+    codes = np.random.default_rng(2).integers(-(1 << 63), 1 << 63, 200)
+    got = spark.createDataFrame([(int(c),) for c in codes], "c long").select(S.gray_column(F.col("c")).alias("r")).collect()
+    assert [r.r for r in got] == gray_rank(codes.view(np.uint64)[None])[0].view(np.int64).tolist()
+
+
 @pytest.mark.parametrize("radius", [0, 20, 45, 128])
 def test_index_finds_all_pairs_in_the_radius(radius):
     rng = np.random.default_rng(radius)
@@ -145,12 +166,12 @@ def test_index_finds_all_pairs_in_the_radius(radius):
     for _ in range(14):
         flips[rng.integers(0, 2, 300), np.arange(300)] ^= np.uint64(1) << rng.integers(0, 64, 300).astype(np.uint64)
     prints = centre[:, which] ^ flips
-    group = np.sort(rng.integers(0, 5, 300))
-    a, b = GrayIndex(group, prints[0], prints[1]).pairs_within(radius)
+    run = rng.integers(0, 5, 300).astype(np.uint64)
+    a, b = GrayIndex(np.stack([run, *prints]), np.full(300, radius / 2)).pairs()
     got = {(min(x, y), max(x, y)) for x, y in zip(a.tolist(), b.tolist())}
     assert len(got) == len(a)
     distance = lambda x, y: int(np.bitwise_count(prints[:, x] ^ prints[:, y]).sum())
-    assert got == {(x, y) for x in range(300) for y in range(x + 1, 300) if group[x] == group[y] and distance(x, y) <= radius}
+    assert got == {(x, y) for x in range(300) for y in range(x + 1, 300) if run[x] == run[y] and distance(x, y) <= radius}
 
 
 def test_fingerprints_tell_the_likeness():
