@@ -1,49 +1,48 @@
 """Texts that were cut at a fixed length or in transfer.
 
-A backward character model says how likely a text ends after a context (what kind of line, and the last characters read
-from the end) rather than goes on: for each context of up to three characters it counts how often texts end there and
-how often they continue, over all texts, and shorter contexts back up longer ones. A text whose final context has
-low odds of an end is cut; the threshold is found per language, where the odds of all its texts leave a gap.
+A backward character model reads a text from its end: the character before a place, and the first token of the line it
+stands in. For each such context it counts, over all texts, how often it occurs, how often the line ends
+there and how often the text does; shorter contexts back up longer ones. The likelihood of an end after the final
+context of a text, as against that of going on, is that of the line's end there and of the text's after such a line. A
+text whose log-odds lie below the threshold is cut; the threshold is found per column and language, where the log-odds
+of all its texts leave a gap. The one thing that is not learned is whether a place lies between fences of code.
 """
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from recordloom.llm.text import COUNTER_BLOCK, COUNTER_SCHEMA, counter_rows, total_counts
+from recordloom.llm.text import COUNTER_BLOCK, COUNTER_SCHEMA, counter_rows, mix, total_counts
 from recordloom.llm.tokens import language, slice_name
 from recordloom.session import materialize
 
 #: Marks that are put where text was lost.
 LOST = ("…", "[…]", "[...]", "�")
 FENCE = "```"
-#: Kinds of lines.
-PROSE, CODE, CLOSED, LIST, FIELD, SIGNED, NUMBERS, ALONE, HEADING = range(9)
-KINDS = 9
-#: Kinds whose lines are items of their own: where such a line ends, a text may end as well.
-ITEMS = (LIST, SIGNED, ALONE)
 #: Symbols of characters: a letter of the alphabet is itself, others are classes.
 _SINGLE = " \n.,;:!?()[]{}`'\"-_—。，！？：；"
 OTHER, LETTER, IDEOGRAPH, DIGIT = 0, 27, 28, 29
 SYMBOLS = 64
-LANGUAGES = 16
 CHUNK = 1 << 20
-#: Weight of the shorter context's odds in those of the longer one.
+#: Counters of the contexts; contexts are hashed to them.
+COUNTERS = 1 << 21
+#: Characters of a line's first token that tell lines apart.
+TOKEN = 12
+#: Weight of the shorter context's likelihood in that of the longer one.
 BACKUP = 20.0
 #: Bins of the log-odds, from LOWEST to 0, and the range in which the threshold is sought.
-BINS, LOWEST = 64, -16.0
-THRESHOLDS = (-8.0, -4.0)
-#: Bins on either side that count for a threshold, and texts of all languages that back up those of one.
-AROUND, SHARED = 2, 20.0
-
-_FIELD = re.compile(r"[^\W\d_]+: [^.!?。]*$")
-_NUMBERS = re.compile(r"[\d .+-]*\d[\d .+-]*$")
+BINS, LOWEST = 96, -24.0
+THRESHOLDS = (-13.0, -6.0)
+#: Bins on either side that should be empty at a threshold, bins beyond that should not, and texts of all languages that
+#: back up those of one.
+AROUND, BESIDE, SHARED = 2, 8, 2000.0
 
 
 def _symbol_table() -> np.ndarray:
@@ -69,33 +68,24 @@ def symbols(text: str) -> np.ndarray:
     return _TABLE[np.minimum(data, 0xFFFF)].astype(np.int64)
 
 
-def line_kind(line: str) -> int:
-    """Kind of a line outside code; by its form only, so a line that is cut keeps its kind."""
-    if not line:
-        return PROSE
-    first = line[0]
-    if first in "-*•" and line[1:2] == " ":
-        return LIST
-    if first in "—–" or line.startswith("-- "):
-        return SIGNED
-    if first == "#":
-        return HEADING
-    if first.isdigit() and _NUMBERS.match(line):
-        return NUMBERS if " " in line else ALONE
-    if len(line) < 120 and ":" in line[:24] and _FIELD.match(line):
-        return FIELD
-    return PROSE
-
-
-def line_kinds(lines: list[str]) -> list[int]:
-    """Kinds of the lines of a text; between fences all lines are code, and a closing fence is a kind of its own."""
+def opening(line: str) -> tuple[int, int]:
+    """Of a line's first token: what classes of characters it begins with, and a hash of the token, digits as one."""
+    token = line[: 2 * TOKEN].split(" ", 1)[0][:TOKEN]
+    if not token:
+        return 0, 0
+    if token[0].isdigit():
+        return DIGIT, DIGIT
+    first = token[0]
+    kind = (1 if first.isupper() else 2 if first.islower() else 3) if first.isalpha() else 64 + int(_TABLE[min(ord(first), 0xFFFF)])
+    return kind, xxhash.xxh64_intdigest(token) & 0xFFFFFFFFFF
+
+
+def fences(lines: list[str]) -> list[bool]:
+    """Whether the end of each line lies between fences of code."""
     out, inside = [], False
     for line in lines:
-        if line.startswith(FENCE):
-            out.append(CLOSED if inside else CODE)
-            inside = not inside
-        else:
-            out.append(CODE if inside else line_kind(line))
+        inside ^= line.startswith(FENCE)
+        out.append(inside)
     return out
 
 
@@ -109,56 +99,60 @@ def body(text: str) -> tuple[str, bool]:
     return text, lost
 
 
-def contexts(kind, s0, s1, s2, lang) -> tuple:
-    """Numbers of the contexts of one, two (both by language) and three characters (of all languages)."""
-    one = (lang * KINDS + kind) * SYMBOLS + s0
-    two = one * SYMBOLS + s1
-    return one, two, ((kind * SYMBOLS + s0) * SYMBOLS + s1) * SYMBOLS + s2
-
-
-SIZES = (LANGUAGES * KINDS * SYMBOLS, LANGUAGES * KINDS * SYMBOLS**2, KINDS * SYMBOLS**3)
-OFFSETS = (0, SIZES[0], SIZES[0] + SIZES[1])
-TOTAL = -(-sum(SIZES) // COUNTER_BLOCK) * COUNTER_BLOCK
+def _number(level: int, *parts: np.ndarray) -> np.ndarray:
+    """Counter of each context."""
+    out = np.full(len(parts[0]), level, np.uint64)
+    for p in parts:
+        out = mix(out * np.uint64(0x9E3779B97F4A7C15) + p.astype(np.uint64))
+    return (out & np.uint64(COUNTERS - 1)).astype(np.int64)
 
 
 class _Chunk:
-    """Positions of some texts behind each other: their contexts, and which of them are ends.
+    """Places of some texts behind each other: their contexts, and which of them are ends of lines and of texts.
 
-    Each text is ``(text without marks, language number, whether it had a mark)``.
+    Each text is ``(text without marks, hash of its column and language, whether it had a mark)``.
     """
 
     def __init__(self, texts: list[tuple[str, int, bool]]):
         lines = [t.split("\n") for t, *_ in texts]
-        kinds = [line_kinds(x) for x in lines]
+        inside = np.array([x for ls in lines for x in fences(ls)], np.int64)
+        heads = [opening(x) for ls in lines for x in ls]
         # A line break belongs to the line that it ends, and one more parts the texts.
+        size = np.array([len(x) + 1 for ls in lines for x in ls])
         s0 = symbols("".join(t + "\n" for t, *_ in texts))
-        kind = np.repeat(np.array([k for ks in kinds for k in ks]), np.array([len(x) + 1 for ls in lines for x in ls]))
+        repeat = lambda x: np.repeat(np.array(x, np.int64), size)
+        code, kind, token = repeat(inside), repeat([k for k, _ in heads]), repeat([t for _, t in heads])
         lengths = np.array([len(t) + 1 for t, *_ in texts])
-        lang = np.repeat(np.array([x for _, x, _ in texts]), lengths)
-        s1, s2 = np.zeros_like(s0), np.zeros_like(s0)
-        s1[1:], s2[2:] = s0[:-1], s0[:-2]
+        lang = np.repeat(np.array([x for _, x, _ in texts], np.int64), lengths)
         self.starts = np.cumsum(lengths) - lengths
         self.last = np.cumsum(lengths) - 2
         self.lengths = lengths
-        self.inside = np.ones(len(s0), bool)
-        self.inside[self.last + 1] = False
-        ends = np.isin(kind, ITEMS)
-        ends[:-1] &= s0[1:] == BREAK
-        ends &= s0 != BREAK
+        self.inside = s0 != BREAK
+        self.line_ends = np.append(s0[1:] == BREAK, False) & self.inside
         # The end of a marked text, or of one inside a block, speaks for nothing.
-        ends[self.last] = ~np.array([lost for *_, lost in texts]) & (kind[self.last] != CODE)
-        self.ends = ends
-        self.kinds = kind[self.last]
-        self.numbers = contexts(kind, s0, s1, s2, lang)
+        self.own = ~np.array([lost for *_, lost in texts]) & (code[self.last] == 0)
+        self.text_ends = np.zeros(len(s0), bool)
+        self.text_ends[self.last] = self.own
+        self.line_ends[self.last] = self.own
+        coarse = np.where(s0 < LETTER, np.minimum(s0, 1), s0)
+        state = code * 256 + kind
+        # Shorter contexts first. Further characters before the last one make the odds no better, see the README.
+        self.numbers = [
+            _number(0, code, s0),
+            _number(1, code, lang, s0),
+            _number(2, state, s0),
+            _number(3, code, token, coarse),
+            _number(4, code, token, s0),
+        ]
 
     def add_to(self, counts: np.ndarray) -> None:
-        for number, offset, size in zip(self.numbers, OFFSETS, SIZES):
-            counts[offset : offset + size] += np.bincount(number[self.inside], minlength=size)
-            counts[TOTAL + offset : TOTAL + offset + size] += np.bincount(number[self.ends], minlength=size)
+        for number in self.numbers:
+            for k, which in enumerate((self.inside, self.line_ends, self.text_ends)):
+                counts[k * COUNTERS : (k + 1) * COUNTERS] += np.bincount(number[which], minlength=COUNTERS)
 
 
 def _chunks(batch: pa.RecordBatch) -> Iterator[tuple[list[int], "_Chunk"]]:
-    """Row numbers of texts that are not empty without their marks, and their positions."""
+    """Row numbers of texts that are not empty without their marks, and their places."""
     rows: list[int] = []
     texts: list[tuple[str, int, bool]] = []
     size = 0
@@ -176,8 +170,8 @@ def _chunks(batch: pa.RecordBatch) -> Iterator[tuple[list[int], "_Chunk"]]:
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """How often each context occurs anywhere, then how often at the end of a text or of a line that is an item."""
-    counts = np.zeros(2 * TOTAL, np.int64)
+    """How often each context occurs anywhere, then how often at the end of a line and of a text."""
+    counts = np.zeros(-(-3 * COUNTERS // COUNTER_BLOCK) * COUNTER_BLOCK, np.int64)
     for batch in batches:
         for _, chunk in _chunks(batch):
             chunk.add_to(counts)
@@ -188,26 +182,26 @@ class BackwardModel:
     """Log-odds of an end after a context, from the counts of all texts."""
 
     def __init__(self, counts: np.ndarray):
-        every, ends = counts[:TOTAL], counts[TOTAL:]
-        by_kind = [x[: SIZES[0]].reshape(LANGUAGES, KINDS, SYMBOLS).sum(axis=(0, 2)) for x in (every, ends)]
-        base = (by_kind[1].sum() + 0.5) / (by_kind[0].sum() + 1.0)
-        self.by_kind = (by_kind[1] + BACKUP * base) / (by_kind[0] + BACKUP)
-        self.every, self.ends = every.astype(np.int32), ends.astype(np.int32)
+        self.every, self.line_ends, self.text_ends = (counts[k * COUNTERS : (k + 1) * COUNTERS].astype(np.int32) for k in range(3))
 
     def log_odds(self, chunk: _Chunk) -> np.ndarray:
         """For the end of each text, by the counts of all other texts: no text speaks about its own end."""
-        p = self.by_kind[chunk.kinds]
-        for number, offset in zip(chunk.numbers, OFFSETS):
+        line = text = np.full(len(chunk.last), 1e-4)
+        line_ends = chunk.line_ends.copy()
+        for number in chunk.numbers:
             final = number[chunk.last]
             same = (number == np.repeat(final, chunk.lengths)) & chunk.inside
-            every = self.every[offset + final] - np.add.reduceat(same, chunk.starts, dtype=np.int64)
-            ends = self.ends[offset + final] - np.add.reduceat(same & chunk.ends, chunk.starts, dtype=np.int64)
+            every = self.every[final] - np.add.reduceat(same, chunk.starts, dtype=np.int64)
+            lines = self.line_ends[final] - np.add.reduceat(same & line_ends, chunk.starts, dtype=np.int64)
+            texts = self.text_ends[final] - chunk.own
             # Less their standard error: one or two cut texts with a context are no sign that texts end there.
-            p = (np.maximum(ends - np.sqrt(ends), 0) + BACKUP * p) / (every + BACKUP)
+            line = (np.maximum(lines - np.sqrt(np.maximum(lines, 0)), 0) + BACKUP * line) / (every + BACKUP)
+            text = (np.maximum(texts - np.sqrt(np.maximum(texts, 0)), 0) + BACKUP * text) / (lines + BACKUP)
+        p = line * np.minimum(text, 1.0)
         return np.log(p / (1 - p + 1e-9))
 
 
-SCORE_SCHEMA = "text_id string, lang string, source string, lost_mark boolean, log_odds double"
+SCORE_SCHEMA = "text_id string, column string, lang string, source string, lost_mark boolean, log_odds double"
 
 
 def _score(model):
@@ -218,51 +212,58 @@ def _score(model):
                 odds[rows] = model.value.log_odds(chunk)
             marks = [body(t)[1] for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays(
-                [batch.column("text_id"), batch.column("lang"), batch.column("source"), pa.array(marks), pa.array(odds)],
-                names=["text_id", "lang", "source", "lost_mark", "log_odds"],
+                [*(batch.column(c) for c in ("text_id", "column", "lang", "source")), pa.array(marks), pa.array(odds)],
+                names=["text_id", "column", "lang", "source", "lost_mark", "log_odds"],
             )
 
     return work
 
 
 def valley(histogram: np.ndarray) -> float:
-    """The log-odds within ``THRESHOLDS`` around which a histogram is emptiest, in the middle of the longest such run."""
-    width = -LOWEST / BINS
-    around = np.convolve(histogram, np.ones(2 * AROUND), "full")[AROUND : AROUND + BINS]  # at the right edge of each bin
-    edges = LOWEST + width * (np.arange(BINS) + 1)
-    inside = np.flatnonzero((edges >= THRESHOLDS[0]) & (edges <= THRESHOLDS[1]))
-    least = inside[around[inside] <= around[inside].min() + 1e-9]
-    runs = np.split(least, np.flatnonzero(np.diff(least) > 1) + 1)
-    run = max(runs, key=len)
-    return float((edges[run[0]] + edges[run[-1]]) / 2)
+    """The log-odds within ``THRESHOLDS`` around which a histogram is emptiest for what lies on either side."""
+    total = np.concatenate([[0.0], np.cumsum(histogram)])
+    edge = np.arange(BINS + 1)
+    span = lambda a, b: total[np.clip(b, 0, BINS)] - total[np.clip(a, 0, BINS)]
+    near = span(edge - AROUND, edge + AROUND)
+    sides = np.minimum(span(edge - AROUND - BESIDE, edge - AROUND), span(edge + AROUND, edge + AROUND + BESIDE))
+    value = LOWEST + edge * (-LOWEST / BINS)
+    score = np.where((value >= THRESHOLDS[0]) & (value <= THRESHOLDS[1]), (near + 0.5) / (sides + 1.0), np.inf)
+    least = np.flatnonzero(score <= score.min() + 1e-9)
+    return float(value[least[len(least) // 2]])
 
 
 def truncation_scores(texts: DataFrame) -> DataFrame:
-    """``text_id, lang, source, lost_mark, log_odds, threshold, truncated`` of every text with a character that is no
-    white space; ``texts`` has ``text_id, text, lang, source``.
+    """``text_id, column, lang, source, lost_mark, log_odds, threshold, truncated`` of every text with a character that is
+    no white space; ``texts`` has ``text_id, text, lang, source`` and may name the ``column`` that a text is of.
 
     Defined cases: null, empty and blank texts are left out; a text of marks only is not truncated; a null language is
-    ``und``, a null source ``unknown``; repeated rows are scored as often as they occur.
+    ``und``, a null source ``unknown``, a null column ``text``; repeated rows are scored as often as they occur.
     """
     spark = texts.sparkSession
+    column = F.col("column") if "column" in texts.columns else F.lit(None)
     rows = texts.select(
         F.col("text_id").cast("string").alias("text_id"),
+        F.coalesce(column.cast("string"), F.lit("text")).alias("column"),
         "text",
         language("lang").alias("lang"),
         slice_name("source").alias("source"),
     )
     rows = rows.filter(F.col("text").isNotNull() & F.col("text").rlike(r"\S"))
-    rows = rows.withColumn("lang_no", F.pmod(F.xxhash64("lang"), F.lit(LANGUAGES)))
-    counts = total_counts(rows.select("text", "lang_no").mapInArrow(_count, COUNTER_SCHEMA), 2 * TOTAL)
+    rows = rows.withColumn("lang_no", F.xxhash64("column", "lang"))
+    counts = total_counts(rows.select("text", "lang_no").mapInArrow(_count, COUNTER_SCHEMA), 3 * COUNTERS)
     model = spark.sparkContext.broadcast(BackwardModel(counts))
     scores = materialize(rows.mapInArrow(_score(model), SCORE_SCHEMA), "end-scores")
     bin_no = F.greatest(F.lit(0), F.least(F.lit(BINS - 1), F.floor((F.col("log_odds") - LOWEST) / (-LOWEST / BINS))))
-    # Languages are numbered by hash, so the thresholds are few whatever the languages are.
-    group = F.pmod(F.xxhash64("lang"), F.lit(LANGUAGES)).cast("int")
-    histograms = np.zeros((LANGUAGES, BINS))
-    for r in scores.groupBy(group.alias("g"), bin_no.cast("int").alias("b")).count().collect():
-        histograms[r.g, r.b] = r["count"]
-    shared = histograms.sum(axis=0) * SHARED / max(histograms.sum(), 1)
-    limits = F.array(*[F.lit(valley(h + shared)) for h in histograms])
-    scored = scores.withColumn("threshold", F.element_at(limits, group + 1))
+    bins = scores.groupBy("column", "lang", bin_no.cast("int").alias("bin")).agg(F.count("*").alias("texts"))
+    whole = np.zeros(BINS)
+    for r in bins.groupBy("bin").agg(F.sum("texts").alias("n")).collect():
+        whole[r.bin] = r.n
+    shared = whole * SHARED / max(whole.sum(), 1)
+
+    def threshold(pdf: pd.DataFrame) -> pd.DataFrame:
+        own = np.bincount(pdf["bin"], pdf["texts"], minlength=BINS)
+        return pd.DataFrame({"column": pdf["column"].iloc[:1], "lang": pdf["lang"].iloc[:1], "threshold": [valley(own + shared)]})
+
+    limits = bins.groupBy("column", "lang").applyInPandas(threshold, "column string, lang string, threshold double")
+    scored = scores.join(limits, ["column", "lang"])
     return scored.withColumn("truncated", F.col("log_odds") < F.col("threshold"))

@@ -56,8 +56,10 @@ def test_cases(spark):
 
 
 def test_lines():
-    text = "# Title\n\nSome text\n- item\n```\ncode\n- code\n```\nTags: a, b\n— Name\n12 13\n14"
-    assert S.line_kinds(text.split("\n")) == [S.HEADING, S.PROSE, S.PROSE, S.LIST, S.CODE, S.CODE, S.CODE, S.CLOSED, S.FIELD, S.SIGNED, S.NUMBERS, S.ALONE]
+    assert S.fences("text\n```python\ncode\n```\nend\n```".split("\n")) == [False, True, True, False, False, True]
+    assert S.opening("- item")[0] == S.opening("- other")[0] != S.opening("Word")[0]
+    assert S.opening("- item")[1] == S.opening("- other")[1] != S.opening("Tags: a")[1]
+    assert S.opening("12 13") == S.opening("145") and S.opening("") == (0, 0)
     assert S.body("abc … [...]\n") == ("abc", True)
     assert S.body("abc.\n") == ("abc.", False)
 
@@ -65,16 +67,27 @@ def test_lines():
 def test_counts_are_those_of_a_plain_walk():
     rng = random.Random(3)
     texts = ["".join(rng.choices("ab. \n-é", k=rng.randrange(1, 40))).strip() or "x" for _ in range(60)]
-    counts = np.zeros(2 * S.TOTAL, np.int64)
-    S._Chunk([(t, 3, False) for t in texts]).add_to(counts)
-    every = counts[: S.SIZES[0]].sum()
-    ends = counts[S.TOTAL : S.TOTAL + S.SIZES[0]].sum()
-    items = sum(1 for t in texts for k, line in enumerate(t.split("\n")[:-1]) if S.line_kind(line) in S.ITEMS)
-    assert every == sum(len(t) for t in texts) and ends == len(texts) + items
+    counts = np.zeros(3 * S.COUNTERS, np.int64)
+    chunk = S._Chunk([(t, 3, False) for t in texts])
+    chunk.add_to(counts)
+    every, lines, ends = counts.reshape(3, -1).sum(axis=1) // len(chunk.numbers)
+    assert every == sum(len(t) - t.count("\n") for t in texts) and ends == len(texts)
+    assert lines == sum(1 for t in texts for line in t.split("\n") if line)
+
+
+def test_thresholds_are_those_of_a_column_and_language(spark):
+    rows, cut = corpus(4, 1200)
+    df = spark.createDataFrame(rows, SCHEMA)
+    both = df.withColumn("column", F.lit("a")).unionByName(df.withColumn("column", F.lit("b")))
+    scores = S.truncation_scores(both).collect()
+    assert {(r.column, r.lang) for r in scores} == {(c, x) for c in "ab" for x in ("en", "de", "und")}
+    for c in "ab":
+        got = {r.text_id for r in scores if r.truncated and r.column == c}
+        assert len(got & cut) >= 0.95 * len(cut) and len(got & cut) >= 0.95 * len(got)
 
 
 def test_valley():
     h = np.zeros(S.BINS)
-    low, high = int((-11 - S.LOWEST) * 4), int((-3 - S.LOWEST) * 4)
+    low, high = int((-12 - S.LOWEST) * 4), int((-5 - S.LOWEST) * 4)
     h[low - 3 : low + 3], h[high - 3 : high + 3] = 50, 900
-    assert -11 < S.valley(h) < -3
+    assert -12 < S.valley(h) < -5
