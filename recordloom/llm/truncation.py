@@ -42,7 +42,7 @@ BINS, LOWEST = 96, -24.0
 THRESHOLDS = (-13.0, -6.0)
 #: Bins on either side that should be empty at a threshold, bins beyond that should not, and texts of all languages that
 #: back up those of one.
-AROUND, BESIDE, SHARED = 2, 8, 2000.0
+AROUND, BESIDE, SHARED = 3, 8, 2000.0
 
 
 def _symbol_table() -> np.ndarray:
