@@ -4,8 +4,9 @@ An automaton over the whole collection can be broadcast no more than the collect
 would send every record past every shard. The automata are therefore built over small reference shards that hold all
 that can match: records are cut at content-chosen anchors (the smallest hashed run of ``ANCHOR`` characters in every
 ``length`` characters), so two records that share a stretch of that length share an anchor inside it. The records'
-surroundings of one anchor are a shard. Equal surroundings are decided without an automaton; the others are streamed
-through the suffix automaton of their shard for matching statistics, which gives the maximal spans exactly.
+surroundings of one anchor are a shard. Hashes only tell which shard a record must see: its surroundings are then streamed
+through the suffix automaton of the shard for matching statistics, which gives the maximal spans exactly. Where a shard
+would be too large for one automaton, its stretches are told apart by hashes of 128 bits.
 """
 
 from __future__ import annotations
@@ -25,6 +26,8 @@ ANCHOR = 50
 CHUNK = 1 << 20
 #: Different surroundings of one anchor beyond which they are compared by hashes of all their stretches instead.
 SHARD_WINDOWS = 64
+#: Automata that a task keeps.
+KEPT = 64
 
 ANCHOR_SCHEMA = "anchor long, around long, row_key long, at int"
 PLACE_SCHEMA = ANCHOR_SCHEMA + ", text_key long"
@@ -50,7 +53,8 @@ def anchors(texts: list[str], length: int, places: bool) -> tuple[np.ndarray, np
     text = np.searchsorted(offsets, chosen, "right") - 1
     start = np.maximum(offsets[text], chosen - (length - ANCHOR))
     end = np.minimum(offsets[text + 1], chosen + length)
-    around = rolling.of(start, end) + (end - start).astype(np.uint64)
+    # Of another lane than the anchor, with which it always goes: 128 bits tell surroundings apart.
+    around = RollingHash(data, 1).of(start, end) + (end - start).astype(np.uint64)
     out = hashes[chosen].view(np.int64), around.view(np.int64), text, chosen - offsets[text]
     if places:
         return out
@@ -215,7 +219,7 @@ def _right_cuts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if batch.num_rows:
             data, offsets = code_points(batch.column("surroundings").to_pylist())
             start, end = offsets[:-1], offsets[1:]
-            hashes = RollingHash(data).of(start, end) + (end - start).astype(np.uint64)
+            hashes = RollingHash(data, 1).of(start, end) + (end - start).astype(np.uint64)
             batch = batch.filter(pa.array(hashes.view(np.int64) == batch.column("around").to_numpy()))
         yield batch
 
@@ -235,7 +239,7 @@ def _stretches(length: int):
                 text = np.searchsorted(offsets, start, "right") - 1
                 inside = start + length <= offsets[text + 1]
                 start, text = start[inside], text[inside]
-                hashes = RollingHash(data).of(start, start + length)
+                hashes = RollingHash(data, 1).of(start, start + length)
                 take = pa.array(text + first)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(hashes.view(np.int64))]
@@ -290,13 +294,61 @@ def _spans(rows: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
     stretches = shards.filter(F.col("shard_size") > SHARD_WINDOWS).mapInArrow(
         _stretches(length), "stretch long, anchor long, around long, low long, high long, span_start int"
     )
-    twice = stretches.groupBy("stretch").agg(F.min("low").alias("_low"), F.max("high").alias("_high")).filter("_low <> _high")
-    large = stretches.join(twice, "stretch", "left_semi").select(
+    # Equal stretches have the same anchor at the same place, so anchor and stretch together are 128 bits of hash.
+    twice = stretches.groupBy("anchor", "stretch").agg(F.min("low").alias("_low"), F.max("high").alias("_high"))
+    large = stretches.join(twice.filter("_low <> _high"), ["anchor", "stretch"], "left_semi").select(
         "anchor", "around", "span_start", (F.col("span_start") + length).alias("span_end")
     )
     return small.unionByName(large)
 
 
+def _streamed(length: int):
+    """Records whose stretch of text, streamed through the automaton of their shard, matches far enough."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # Rows of a shard mostly follow each other; the automaton of the last shards is kept.
+        built: dict[str, SuffixAutomaton] = {}
+        for batch in batches:
+            out = []
+            for key, text, reference in zip(*rows_of(batch, "row_key", "text", "reference")):
+                automaton = built.get(reference)
+                if automaton is None:
+                    if len(built) >= KEPT:
+                        built.clear()
+                    automaton = built[reference] = SuffixAutomaton()
+                    automaton.add(reference, 1, 1)
+                    automaton.finish()
+                if automaton.spans(text, 0, 0, length):
+                    out.append(key)
+            yield pa.RecordBatch.from_arrays([pa.array(out, pa.int64())], names=["row_key"])
+
+    return run
+
+
+def _confirmed(rows: DataFrame, shared: DataFrame, length: int) -> DataFrame:
+    """Records with equal surroundings of an anchor, by hash, that the automaton of another such record confirms.
+
+    A record sees one shard, the first of those. The shard's reference text comes to the records by a join on the shard,
+    so a shard with a third of all records is split like any hot join key.
+    """
+    place = F.struct("row_key", "at")
+    groups = shared.groupBy("anchor", "around").agg(F.min(place).alias("low"), F.max(place).alias("high"))
+    groups = groups.filter("low.row_key <> high.row_key")
+    seen = shared.join(groups, ["anchor", "around"])
+    first = F.min(F.struct("anchor", "around", "at", "low", "high")).alias("s")
+    seen = seen.groupBy("row_key").agg(first).select("row_key", "s.*")
+    other = F.when(F.col("row_key") != F.col("low.row_key"), F.col("low")).otherwise(F.col("high"))
+    seen = materialize(seen.select("anchor", "around", "row_key", "at", other.alias("other")), "shards-seen")
+    texts = rows.select("row_key", "text").dropDuplicates(["row_key", "text"])
+    begin = F.greatest(F.col("at") - (length - ANCHOR), F.lit(0))
+    cut = F.substring("text", begin + 1, F.col("at") + length - begin)
+    own = seen.join(texts, "row_key").select("anchor", "around", "row_key", F.col("other.row_key").alias("other_key"), cut.alias("text"))
+    needed = seen.select("anchor", "around", F.col("other.row_key").alias("row_key"), F.col("other.at").alias("at")).distinct()
+    references = needed.join(texts, "row_key").select("anchor", "around", F.col("row_key").alias("other_key"), cut.alias("reference"))
+    together = own.join(references, ["anchor", "around", "other_key"]).select("row_key", "text", "reference")
+    return together.mapInArrow(_streamed(length), "row_key long").distinct()
+
+
 def records_with_shared_spans(
     records: DataFrame, record_id: str | Column = "id", text: str | Column = "response_text", length: int = 200
 ) -> DataFrame:
@@ -307,10 +359,8 @@ def records_with_shared_spans(
     """
     rows = _prepared(records, record_id, text, length)
     shared = _candidates(rows, length, False)
-    equal = shared.groupBy("anchor", "around").agg(F.min("row_key").alias("low"), F.max("row_key").alias("high"))
-    equal = equal.filter("low <> high").select("anchor", "around")
-    found = materialize(shared.join(equal, ["anchor", "around"], "left_semi").select("row_key").distinct(), "found")
-    # Only the records that no equal surroundings decide go on, with whatever shares an anchor with them.
+    found = materialize(_confirmed(rows, shared, length), "found")
+    # The records that this does not decide go on, with whatever shares an anchor with them.
     open_rows = shared.join(found, "row_key", "left_anti")
     wanted = materialize(shared.join(open_rows.select("anchor").distinct(), "anchor", "left_semi"), "open-anchors")
     spans = _spans(rows, wanted, length).select("anchor", "around").distinct()

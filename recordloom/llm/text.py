@@ -72,8 +72,9 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
 class RollingHash:
     """Hashes of all stretches of a sequence of 64-bit values, each from two prefix values (arithmetic modulo 2**64)."""
 
-    def __init__(self, values: np.ndarray):
-        mixed = mix(values.astype(np.uint64) + np.uint64(0x632BE59BD9B4E019))
+    def __init__(self, values: np.ndarray, lane: int = 0):
+        """Hashes of different lanes are independent of each other."""
+        mixed = mix(values.astype(np.uint64) + np.uint64((0x632BE59BD9B4E019 * (2 * lane + 1)) % (1 << 64)))
         self._up, down = _powers(len(values) + 1)
         self._sum = np.zeros(len(values) + 1, np.uint64)
         np.cumsum(mixed * down[: len(values)], out=self._sum[1:])
