@@ -1,7 +1,8 @@
 """Records of evaluation splits that also stand, exactly or almost, in the training split.
 
-A compressed full-text index (Burrows-Wheeler transform with rank by sorted keys) is built over the words of a shard of
-evaluation statements. Training texts are streamed through backward search, all positions of a batch at once. The
+A compressed full-text index is built over the words of a shard of evaluation statements: the Burrows-Wheeler transform as
+a wavelet matrix of packed bits with counts of ones, and every ``SAMPLED``-th position of the suffix array, from which
+the others are found by steps of the transform. Training texts are streamed through backward search, all positions of a batch at once. The
 search yields maximal matches, whose spans are merged per pair, and the counts of shared word runs, from which the
 likeness follows exactly.
 """
@@ -21,12 +22,64 @@ RUN = 3
 #: Evaluation items and characters of one index, about; more are searched in several indexes, each over all training rows.
 SHARD_ITEMS, SHARD_CHARS = 4096, 4 << 20
 
+#: Distance of sampled positions, and texts that are searched at once.
+SAMPLED, TEXTS = 4, 1024
+#: Words after which a match is followed along its occurrences instead of by further steps.
+SEED = 32
+
 OVERLAP_SCHEMA = (
     "train_key string, heldout_key string, same_words boolean, shared_runs int, likeness double, "
     "matched_words int, longest_match int"
 )
 
 
+class Bits:
+    """Packed bits with the number of ones before each 64 of them."""
+
+    def __init__(self, bits: np.ndarray):
+        padded = np.zeros((len(bits) // 64 + 1) * 64, np.uint8)
+        padded[: len(bits)] = bits
+        self.words = np.packbits(padded, bitorder="little").view(np.uint64)
+        self.before = np.concatenate([[0], np.cumsum(np.bitwise_count(self.words), dtype=np.uint32)]).astype(np.uint32)[:-1]
+
+    def __getitem__(self, at: np.ndarray) -> np.ndarray:
+        return (self.words[at >> 6] >> (at & 63).astype(np.uint64)) & np.uint64(1) > 0
+
+    def ones(self, end: np.ndarray) -> np.ndarray:
+        """Ones before some places."""
+        below = (np.uint64(1) << (end & 63).astype(np.uint64)) - np.uint64(1)
+        return self.before[end >> 6].astype(np.int64) + np.bitwise_count(self.words[end >> 6] & below)
+
+
+class WaveletMatrix:
+    """A sequence of symbols, one vector of bits for each bit of a symbol, highest first."""
+
+    def __init__(self, data: np.ndarray, symbols: int):
+        self.levels: list[tuple[int, Bits, int]] = []
+        for bit in range(max(1, (symbols - 1).bit_length()) - 1, -1, -1):
+            ones = (data >> bit & 1).astype(bool)
+            self.levels.append((bit, Bits(ones), len(data) - int(ones.sum())))
+            data = np.concatenate([data[~ones], data[ones]])
+        self.starts = np.zeros(symbols, np.int64)
+        self.starts = self.count(np.arange(symbols), np.zeros(symbols, np.int64))
+
+    def count(self, symbol: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """How often symbols occur before some places."""
+        for bit, bits, zeros in self.levels:
+            ones = bits.ones(end)
+            end = np.where(symbol >> bit & 1, zeros + ones, end - ones)
+        return end - self.starts[symbol]
+
+    def at(self, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The symbols at some places, and how often each occurs before its place."""
+        symbol = np.zeros(len(place), np.int64)
+        for bit, bits, zeros in self.levels:
+            one, ones = bits[place], bits.ones(place)
+            symbol |= one.astype(np.int64) << bit
+            place = np.where(one, zeros + ones, place - ones)
+        return symbol, place - self.starts[symbol]
+
+
 class WordIndex:
     """Backward search over the words of some texts; text ids are positions in ``texts``."""
 
@@ -35,15 +88,15 @@ class WordIndex:
         # 0 ends the whole, 1 ends each text, words follow.
         ids = [np.array([self.vocabulary[w] for w in t] + [1], np.int64) for t in texts]
         data = np.concatenate([*ids, np.zeros(1, np.int64)])
-        self.size = n = len(data)
+        self.size = len(data)
         self.lengths = np.array([len(t) for t in texts], np.int64)
         self.starts = np.concatenate([[0], np.cumsum(self.lengths + 1)])
         order = _suffix_array(data)
-        bwt = data[order - 1]
-        # Rank structure: the sorted keys (symbol, row). The rows of a symbol are contiguous, in the order of the
-        # first column, so one binary search in the keys is a whole backward step.
-        self.keys = np.sort(bwt * (n + 1) + np.arange(n))
-        self.order = order
+        symbols = len(self.vocabulary) + 2
+        self.transform = WaveletMatrix(data[order - 1], symbols)
+        self.first = np.concatenate([[0], np.cumsum(np.bincount(data, minlength=symbols))])
+        sampled = order % SAMPLED == 0
+        self.sampled, self.samples = Bits(sampled), order[sampled].astype(np.int32)
         # The statements' distinct runs: how many each has.
         self.run_counts = np.zeros(len(texts), np.int64)
         for k, t in enumerate(ids):
@@ -52,8 +105,21 @@ class WordIndex:
                 self.run_counts[k] = len(set(zip(*(t[j:].tolist() for j in range(RUN)))))
 
     def step(self, symbol: np.ndarray, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        base = symbol * (self.size + 1)
-        return np.searchsorted(self.keys, base + low), np.searchsorted(self.keys, base + high)
+        first = self.first[symbol]
+        return first + self.transform.count(symbol, low), first + self.transform.count(symbol, high)
+
+    def positions(self, row: np.ndarray) -> np.ndarray:
+        """Positions of the suffixes of some rows: steps back to a sampled one, at most ``SAMPLED`` less one."""
+        out, row, open_rows = np.zeros(len(row), np.int64), row.copy(), np.arange(len(row))
+        for back in range(SAMPLED):
+            done = self.sampled[row]
+            out[open_rows[done]] = self.samples[self.sampled.ones(row[done])] + back
+            open_rows, row = open_rows[~done], row[~done]
+            if not len(row):
+                break
+            symbol, before = self.transform.at(row)
+            row = self.first[symbol] + before
+        return out
 
     def text_of(self, position: np.ndarray) -> np.ndarray:
         return np.searchsorted(self.starts, position, "right") - 1
@@ -93,12 +159,14 @@ def search(index: WordIndex, texts: list[list[str]], threshold: float) -> dict[s
     begin = np.concatenate([[0], np.cumsum(counts)])[:-1]
     # depth[i]: length of the longest match that ends at word i; low/high: its rows.
     at = np.flatnonzero(flat >= 0)
-    low, high = np.zeros(len(at), np.int64), np.full(len(at), index.size, np.int64)
+    # The rows of a single word are those of the first column.
+    low, high = index.first[flat[at]], index.first[flat[at] + 1]
     depth = np.zeros(n, np.int64)
     last_low, last_high = np.zeros(n, np.int64), np.zeros(n, np.int64)
     run_low, run_high = np.zeros(n, np.int64), np.zeros(n, np.int64)
-    length = 0
-    while len(at):
+    depth[at], last_low[at], last_high[at] = 1, low, high
+    length = 1
+    while len(at) and length < SEED:
         source = at - length
         inside = source >= begin[owner[at]]
         at, low, high, source = at[inside], low[inside], high[inside], source[inside]
@@ -111,13 +179,24 @@ def search(index: WordIndex, texts: list[list[str]], threshold: float) -> dict[s
         depth[at], last_low[at], last_high[at] = length, low, high
         if length == RUN:
             run_low[at], run_high[at] = low, high
+    deep_at, deep_start = _followed(index, at, low, high, depth)
+
+    def places(ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Numbers of ends and items of the occurrences of their longest matches."""
+        shallow = np.flatnonzero(depth[ends] < SEED)
+        width = last_high[ends[shallow]] - last_low[ends[shallow]]
+        left, right = (np.searchsorted(deep_at, ends, side) for side in ("left", "right"))
+        which = np.concatenate([np.repeat(shallow, width), np.repeat(np.arange(len(ends)), right - left)])
+        start = np.concatenate([index.positions(ranges(last_low[ends[shallow]], width)), deep_start[ranges(left, right - left)]])
+        return which, index.text_of(start)
+
     # Distinct runs of each text, known to the index or not.
     runs = _distinct_runs(texts)
     # Counts: each distinct run of a text once, at each item that has it.
     ends = np.flatnonzero(run_high > run_low)
     ends = ends[np.unique(owner[ends] * index.size + run_low[ends], return_index=True)[1]]
     width = run_high[ends] - run_low[ends]
-    items = index.text_of(index.order[ranges(run_low[ends], width)])
+    items = index.text_of(index.positions(ranges(run_low[ends], width)))
     # An item that repeats the run counts once for it.
     end, item = np.divmod(np.unique(np.repeat(np.arange(len(ends)), width) * len(index.lengths) + items), len(index.lengths))
     pair, shared = np.unique(owner[ends[end]] * len(index.lengths) + item, return_counts=True)
@@ -128,9 +207,8 @@ def search(index: WordIndex, texts: list[list[str]], threshold: float) -> dict[s
     # The same words: a match as long as both texts.
     tail = begin + counts - 1
     whole = np.flatnonzero((counts > 0) & (depth[np.maximum(tail, 0)] == counts))
-    width = last_high[tail[whole]] - last_low[tail[whole]]
-    position = index.order[ranges(last_low[tail[whole]], width)]
-    same_text, same_item = np.repeat(whole, width), index.text_of(position)
+    which, same_item = places(tail[whole])
+    same_text = whole[which]
     equal = index.lengths[same_item] == counts[same_text]
     same = np.unique(same_text[equal] * len(index.lengths) + same_item[equal])
     pair = text * len(index.lengths) + item
@@ -147,9 +225,8 @@ def search(index: WordIndex, texts: list[list[str]], threshold: float) -> dict[s
     following[:-1] = np.where(owner[1:] == owner[:-1], depth[1:], 0)
     wanted = np.isin(owner, out["text"])
     ends = np.flatnonzero(wanted & (depth >= 1) & (following <= depth))
-    width = last_high[ends] - last_low[ends]
-    items = index.text_of(index.order[ranges(last_low[ends], width)])
-    ends = np.repeat(ends, width)
+    which, items = places(ends)
+    ends = ends[which]
     key = owner[ends] * len(index.lengths) + items
     order = np.lexsort((ends, key))
     key, ends = key[order], ends[order]
@@ -170,6 +247,27 @@ def search(index: WordIndex, texts: list[list[str]], threshold: float) -> dict[s
     return out
 
 
+def _followed(index: WordIndex, at: np.ndarray, low: np.ndarray, high: np.ndarray, depth: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Ends and starts, sorted by end, of the longest matches of more than ``SEED`` words; sets their ``depth``.
+
+    A match of ``SEED`` words goes on where the next word's match has the next occurrence, so occurrences in a row on one
+    diagonal are one match, however long.
+    """
+    width = high - low
+    end = np.repeat(at, width)
+    start = index.positions(ranges(low, width))
+    order = np.lexsort((end, end - start))
+    end, start = end[order], start[order]
+    fresh = np.append(True, (np.diff(end - start) != 0) | (np.diff(end) != 1))[: len(end)]
+    head = np.maximum.accumulate(np.where(fresh, np.arange(len(end)), 0))
+    longer = np.arange(len(end)) - head
+    np.maximum.at(depth, end, SEED + longer)
+    best = depth[end] == SEED + longer
+    end, start = end[best], start[best] - longer[best]
+    order = np.argsort(end, kind="stable")
+    return end[order], start[order]
+
+
 def _distinct_runs(texts: list[list[str]]) -> np.ndarray:
     """How many distinct runs of three words each text has."""
     ids: dict[str, int] = {}
@@ -224,21 +322,22 @@ def _overlap_with(spark, rows: DataFrame, shard: list[tuple[str, str]], threshol
     index = spark.sparkContext.broadcast(WordIndex([words(statement(p)) for _, p in shard]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keys = batch.column("train_key").to_pylist()
-            texts = [words(t) for t in batch.column("text").to_pylist()]
-            hit = search(index.value, texts, threshold)
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array([keys[i] for i in hit["text"].tolist()], pa.string()),
-                    pa.array([names[i] for i in hit["item"].tolist()], pa.string()),
-                    pa.array(hit["same"], pa.bool_()),
-                    pa.array(hit["shared"].astype(np.int32)),
-                    pa.array(hit["likeness"], pa.float64()),
-                    pa.array(hit["matched"].astype(np.int32)),
-                    pa.array(hit["longest"].astype(np.int32)),
-                ],
-                names=["train_key", "heldout_key", "same_words", "shared_runs", "likeness", "matched_words", "longest_match"],
-            )
+        for whole in batches:
+            for first in range(0, whole.num_rows, TEXTS):
+                batch = whole.slice(first, TEXTS)
+                keys = batch.column("train_key").to_pylist()
+                hit = search(index.value, [words(t) for t in batch.column("text").to_pylist()], threshold)
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array([keys[i] for i in hit["text"].tolist()], pa.string()),
+                        pa.array([names[i] for i in hit["item"].tolist()], pa.string()),
+                        pa.array(hit["same"], pa.bool_()),
+                        pa.array(hit["shared"].astype(np.int32)),
+                        pa.array(hit["likeness"], pa.float64()),
+                        pa.array(hit["matched"].astype(np.int32)),
+                        pa.array(hit["longest"].astype(np.int32)),
+                    ],
+                    names=["train_key", "heldout_key", "same_words", "shared_runs", "likeness", "matched_words", "longest_match"],
+                )
 
     return rows.mapInArrow(run, OVERLAP_SCHEMA)

@@ -74,6 +74,28 @@ def test_empty_tables_and_long_texts(spark):
     assert got[0].longest_match == 60_000
 
 
+def test_long_matches_follow_their_occurrences(monkeypatch):
+    monkeypatch.setattr(S, "SEED", 4)
+    rng = random.Random(12)
+    held = [[f"{rng.randrange(5)}" for _ in range(rng.randrange(0, 40))] for _ in range(12)]
+    texts = [held[k % 12][rng.randrange(5):] + [f"{rng.randrange(5)}" for _ in range(9)] if k % 3 else held[k % 12] for k in range(40)]
+    few = S.search(S.WordIndex(held), texts, 0.1)
+    monkeypatch.setattr(S, "SEED", 1000)
+    many = S.search(S.WordIndex(held), texts, 0.1)
+    assert all(few[k].tolist() == many[k].tolist() for k in many) and few["same"].any()
+
+
+def test_the_index_is_compressed():
+    rng = random.Random(13)
+    texts = [[f"w{rng.randrange(900)}" for _ in range(50)] for _ in range(200)]
+    index = S.WordIndex(texts)
+    data = [index.vocabulary[w] for t in texts for w in [*t]]
+    rows = np.arange(index.size)
+    assert sorted(index.positions(rows).tolist()) == list(range(index.size))
+    size = sum(b.words.nbytes + b.before.nbytes for _, b, _ in index.transform.levels) + index.samples.nbytes
+    assert size < 4 * len(data)
+
+
 def test_one_backward_step_counts_a_word():
     index = S.WordIndex([["b", "a", "b"], ["a"], []])
     flat, _ = index.encode([["b"], ["zzz"]])
