@@ -4,14 +4,21 @@ from __future__ import annotations
 
 import ast
 import io
+import sys
 import tokenize
+from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BooleanType, IntegerType, StringType, StructType
 
-#: Calls that a program must not make when it is loaded.
-FORBIDDEN_CALLS = ("compile", "eval", "exec", "__import__", "input", "breakpoint")
+#: Calls that a program must not make, and modules that it must not import.
+FORBIDDEN_CALLS = ("open", "eval", "exec", "compile", "__import__", "input", "breakpoint")
+FORBIDDEN_MODULES = (
+    "asyncio", "ftplib", "http", "multiprocessing", "os", "pathlib", "shutil", "smtplib", "socket", "subprocess", "tempfile",
+    "urllib", "webbrowser",
+)
+FACTS = ("parses", "docstring", "loose_string", "top_assert", "forbidden_call", "forbidden_import")
 
 
 def _struct(kind, *names: str) -> StructType:
@@ -28,26 +35,43 @@ def _tree(source: str | None) -> ast.Module | None:
         return None
 
 
-def _facts(source: str | None) -> dict:
+def allowed_module(name: str | None) -> bool:
+    """Whether a module belongs to the standard library and is not forbidden."""
+    root = (name or "").partition(".")[0]
+    return root in sys.stdlib_module_names and root not in FORBIDDEN_MODULES
+
+
+def _imports(tree: ast.Module) -> Iterator[str | None]:
+    """Modules that a program imports; None for one relative to its own place."""
+    for node in ast.walk(tree):
+        if isinstance(node, ast.Import):
+            yield from (a.name for a in node.names)
+        elif isinstance(node, ast.ImportFrom):
+            yield None if node.level else node.module
+
+
+def _facts(source: str | None) -> tuple:
     tree = _tree(source)
     if tree is None:
-        return {"parses": False, "docstring": False, "loose_string": False, "top_assert": False, "forbidden_call": False}
+        return (False,) * len(FACTS)
     scopes = [n for n in ast.walk(tree) if isinstance(n, (ast.Module, ast.FunctionDef, ast.AsyncFunctionDef, ast.ClassDef))]
-    documented = {id(n.body[0]) for n in scopes if ast.get_docstring(n, clean=False) is not None}
-    strings = [n for n in ast.walk(tree) if isinstance(n, ast.Expr) and isinstance(n.value, ast.Constant) and isinstance(n.value.value, str)]
-    return {
-        "parses": True,
-        "docstring": bool(documented),
-        "loose_string": any(id(n) not in documented for n in strings),
-        "top_assert": any(isinstance(n, ast.Assert) for n in tree.body),
-        "forbidden_call": any(isinstance(n, ast.Call) and isinstance(n.func, ast.Name) and n.func.id in FORBIDDEN_CALLS for n in ast.walk(tree)),
-    }
-
-
-@F.pandas_udf(_struct(BooleanType(), "parses", "docstring", "loose_string", "top_assert", "forbidden_call"))
+    # Text of the module itself that is not its docstring.
+    loose = [n for n in tree.body[1:] if isinstance(n, ast.Expr) and isinstance(n.value, ast.Constant) and isinstance(n.value.value, str)]
+    calls = [n for n in ast.walk(tree) if isinstance(n, ast.Call) and isinstance(n.func, ast.Name)]
+    return (
+        True,
+        any(ast.get_docstring(n, clean=False) is not None for n in scopes),
+        bool(loose),
+        any(isinstance(n, ast.Assert) for n in tree.body),
+        any(n.func.id in FORBIDDEN_CALLS for n in calls),
+        any(not allowed_module(m) for m in _imports(tree)),
+    )
+
+
+@F.pandas_udf(_struct(BooleanType(), *FACTS))
 def source_facts(source: pd.Series) -> pd.DataFrame:
     """What a program text holds; all false when it does not parse, which includes null."""
-    return pd.DataFrame([_facts(s) for s in source], columns=["parses", "docstring", "loose_string", "top_assert", "forbidden_call"])
+    return pd.DataFrame([_facts(s) for s in source], columns=list(FACTS))
 
 
 class _Shape(ast.NodeVisitor):
@@ -62,7 +86,7 @@ class _Shape(ast.NodeVisitor):
         if isinstance(node, ast.Constant):
             return type(node.value).__name__
         if isinstance(node, ast.Attribute):
-            return f"{self.shape(node.value)}.{node.attr}"
+            return f"{self.shape(node.value)}.ATTR"
         inner = []
         for _, value in ast.iter_fields(node):
             for x in value if isinstance(value, list) else [value]:
@@ -71,16 +95,22 @@ class _Shape(ast.NodeVisitor):
         return f"{type(node).__name__}({','.join(inner)})" if inner else type(node).__name__
 
 
+def _tests(text: str) -> list[tuple[str, ast.Module | None]]:
+    """The lines of a text that are not blank, each with its syntax tree."""
+    return [(line.strip(), _tree(line.strip())) for line in text.split("\n") if line.strip()]
+
+
 def assertion_shapes(text: str | None, target: str | None) -> list[str] | None:
-    """One form per assert statement in the text, in order; lines that do not parse are left out."""
+    """One form per assert statement in the text, in order, without names, attributes and values.
+
+    A line without an assert statement has the form of its whole, one that does not parse is ``SYNTAX_ERROR``.
+    """
     if text is None:
         return None
-    out = []
-    for line in text.split("\n"):
-        tree = _tree(line.strip())
-        for node in tree.body if tree else []:
-            if isinstance(node, ast.Assert):
-                out.append(_Shape(target).shape(node.test))
+    out, shape = [], _Shape(target).shape
+    for _, tree in _tests(text):
+        asserts = [n for n in tree.body if isinstance(n, ast.Assert)] if tree else []
+        out += [shape(n.test) for n in asserts] or [shape(tree) if tree else "SYNTAX_ERROR"]
     return out
 
 
@@ -98,14 +128,17 @@ class _Rename(ast.NodeTransformer):
 
 
 def normal_assertions(text: str | None, target: str | None) -> list[str] | None:
-    """Each assert statement in one layout, with the tested function under one name."""
+    """Each assert statement in one layout, with the tested function under one name, beside ``assertion_shapes``.
+
+    A line without an assert statement is laid out as a whole; one that does not parse stays as it is.
+    """
     if text is None:
         return None
     out = []
-    for line in text.split("\n"):
-        tree = _tree(line.strip())
-        if tree and tree.body and isinstance(tree.body[0], ast.Assert):
-            out.append(ast.unparse(_Rename(target or "").visit(tree.body[0])))
+    for line, tree in _tests(text):
+        renamed = _Rename(target or "").visit(tree) if tree else None
+        asserts = [n for n in renamed.body if isinstance(n, ast.Assert)] if renamed else []
+        out += [ast.unparse(n) for n in asserts] or [ast.unparse(renamed) if renamed else line]
     return out
 
 

@@ -12,9 +12,9 @@ from pyspark.sql.types import DoubleType, StringType
 
 #: Joins the two words of a bigram.
 BIGRAM_MARK = "␟"
-#: A home or root path, and the shape of access keys.
-LOCAL_PATH = r"(?:/root|/home/[^/\s]+|[A-Za-z]:\\Users\\[^\\\s]+)[^\s\"']*"
-ACCESS_KEY = r"(?:sk-[A-Za-z0-9_-]{16,}|hf_[A-Za-z0-9]{16,})"
+#: Local paths, and the shapes of credentials, both in any case.
+LOCAL_PATH = r"(?i)(?:[a-z]:\\users\\[^\s\"']+|(?<![a-z0-9/])/(?:root|home)/[^\s\"']+)"
+ACCESS_KEY = r"(?i)(?:\bsk[-_][a-z0-9_-]{12,}|\bhf_[a-z0-9]{12,}|bearer\s+[a-z0-9._~+/-]{12,})"
 FENCE = "```"
 
 

@@ -6,10 +6,12 @@ import hashlib
 from collections.abc import Iterator
 
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from recordloom.functions.numeric import rate
+from recordloom.operators.ordering import with_position
 
 
 def nearest_rank(rows: DataFrame, group: list[str], value: str) -> DataFrame:
@@ -72,20 +74,30 @@ def pass_at(attempts: DataFrame, problem: str, number: str, passed: Column, most
 def ordered_hash(rows: DataFrame, order: list[str], value: str) -> DataFrame:
     """SHA-256 of the values joined by line feeds, in order: one row ``n, sha256``.
 
-    The hash is serial by definition. The sort is distributed; one task then streams over the sorted values, and keeps
-    none of them.
+    The hash is serial by definition. Sort and encoding are distributed; one task then streams over the encoded blocks in
+    order and keeps none of them. A null value is the text ``null`` in angle brackets, which an empty value is not.
     """
 
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for k, batch in enumerate(batches):
+            values = [("<null>" if x is None else x).encode() for x in batch.column("v").to_pylist()]
+            if values:
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([TaskContext.get().partitionId()]), pa.array([k]), pa.array([len(values)]), pa.array([b"\n".join(values)])],
+                    names=["part", "block", "n", "bytes"],
+                )
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        digest, n = hashlib.sha256(), 0
+        whole, n = hashlib.sha256(), 0
         for batch in batches:
-            for x in batch.column("v").to_pylist():
-                digest.update((b"\n" if n else b"") + (x or "").encode())
-                n += 1
-        yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64()), pa.array([digest.hexdigest()])], names=["n", "sha256"])
+            for size, block in zip(batch.column("n").to_pylist(), batch.column("bytes").to_pylist()):
+                whole.update((b"\n" if n else b"") + block)
+                n += size
+        yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64()), pa.array([whole.hexdigest()])], names=["n", "sha256"])
 
     values = rows.orderBy(*order).select(F.col(value).cast("string").alias("v"))
-    return values.coalesce(1).mapInArrow(run, "n long, sha256 string")
+    blocks = values.mapInArrow(encode, "part long, block long, n long, bytes binary")
+    return blocks.repartition(1).sortWithinPartitions("part", "block").mapInArrow(run, "n long, sha256 string")
 
 
 def steps_report(logs: DataFrame, run: str, step: str, epoch: Column, value: str, edge: int = 5) -> DataFrame:
@@ -102,3 +114,20 @@ def steps_report(logs: DataFrame, run: str, step: str, epoch: Column, value: str
         F.round(F.avg(F.when(F.col(step) > F.col("_last") - edge, F.col(value))), 6).alias("mean_of_last"),
         F.first("contiguous").alias("contiguous"),
     )
+
+
+def weighted_cost(amounts: list[tuple[Column, float]], per: float = 1e6) -> Column:
+    """Cost of amounts by their rates, for ``per`` units each."""
+    return sum((amount.cast("double") * rate for amount, rate in amounts), F.lit(0.0)) / per
+
+
+def gates(rows: DataFrame, conditions: dict[str, Column]) -> DataFrame:
+    """One row with the outcome of each condition over all rows, an aggregate each, and whether all hold."""
+    found = rows.agg(*[F.coalesce(c, F.lit(False)).alias(n) for n, c in conditions.items()])
+    return found.withColumn("all_hold", sum((F.col(n).cast("int") for n in conditions), F.lit(0)) == len(conditions))
+
+
+def most_common(rows: DataFrame, value: str, seen: str) -> DataFrame:
+    """Values by number of rows, most first; of equal numbers the one seen first."""
+    counted = rows.groupBy(value).agg(F.count("*").alias("n"), F.min(seen).alias("first_seen"))
+    return with_position(counted, [F.desc("n"), "first_seen", value]).select(value, "n", (F.col("position") + 1).alias("place"))

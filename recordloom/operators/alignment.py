@@ -99,5 +99,7 @@ def end_audit(labels: Column, end_token: Column) -> Column:
 
 
 def single_occurrence(rows: DataFrame, keys: list[str]) -> DataFrame:
-    """Rows whose key occurs once."""
-    return rows.withColumn("_n", F.count("*").over(Window.partitionBy(*keys))).filter("_n = 1").drop("_n")
+    """Rows whose key occurs once: counted with partial sums, so a frequent key is never in one place."""
+    once = rows.groupBy(*keys).agg(F.count("*").alias("_n")).filter("_n = 1").drop("_n")
+    same = [rows[k].eqNullSafe(once[k]) for k in keys]
+    return rows.join(once, same, "left_semi")

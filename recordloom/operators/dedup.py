@@ -33,17 +33,17 @@ def alias_key(own: str, aliases: str):
     return F.array_min(F.array_append(F.coalesce(F.col(aliases), F.array().cast("array<string>")), F.col(own)))
 
 
-def greedy_distinct(rows: DataFrame, keys: list[str], seq: str, rounds: int = 100) -> DataFrame:
+def greedy_distinct(rows: DataFrame, keys: list[str], seq: str) -> DataFrame:
     """Walks the rows in order of ``seq`` and keeps a row when none of its keys was taken by a kept row.
 
     Returns ``seq, kept, reason, duplicate_of``: the reason is the first of ``keys`` that a kept, earlier row has.
     Dropped rows take no keys, so the outcome depends on the order; it is found by rounds: among the undecided rows, one
     that comes first for each of its keys is kept, then rows that share a key with a kept, earlier row are dropped. Each
-    round is joins and aggregates, written to the shared folder. Null keys are nobody's. ``seq`` must be unique.
+    round is joins and aggregates, written to the shared folder, and decides the first undecided row at least. Null keys are nobody's. ``seq`` must be unique.
     """
     state = rows.select(seq, *keys).withColumns({"kept": F.lit(None).cast("boolean"), "reason": F.lit(None).cast("string"), "duplicate_of": F.lit(None).cast(rows.schema[seq].dataType)})
     state = materialize(state, "greedy")
-    for _ in range(rounds):
+    while True:
         open_rows = state.filter(F.col("kept").isNull()).select(seq, *keys)
         leads = open_rows
         for k in keys:
@@ -73,7 +73,6 @@ def greedy_distinct(rows: DataFrame, keys: list[str], seq: str, rounds: int = 10
         state = materialize(out, "greedy")
         if not state.filter(F.col("kept").isNull()).limit(1).count():
             return _final_reasons(state, keys, seq)
-    raise RuntimeError(f"rows are still undecided after {rounds} rounds")
 
 
 def _final_reasons(state: DataFrame, keys: list[str], seq: str) -> DataFrame:

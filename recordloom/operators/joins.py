@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from recordloom.operators.ordering import with_position
+
 
 def attempt_join(raw: DataFrame, normalised: DataFrame, verdicts: DataFrame, key: str = "id") -> DataFrame:
     """Raw attempts with what became of them; each side must hold a key once.
@@ -100,3 +102,37 @@ def drift(a: DataFrame, b: DataFrame, key: str, columns: list[str]) -> DataFrame
     where = F.when(F.col("_a").isNull(), "right only").when(F.col("_b").isNull(), "left only").otherwise("both")
     out = joined.select(key, where.alias("side"), F.when(where == "both", differ).alias("differ"))
     return out.filter((F.col("side") != "both") | (F.size("differ") > 0))
+
+
+def first_matches(known: DataFrame, wanted: DataFrame, row: str, value: str) -> DataFrame:
+    """``wanted_row, n, value, known_row, matches`` of the wanted values that are known: the first known row, and how many.
+
+    Both sides have ``row, n, value``. The known side is folded to one row a value before the join.
+    """
+    folded = known.groupBy(value).agg(F.min(row).alias("known_row"), F.count("*").alias("matches"))
+    return wanted.join(folded, value).select(F.col(row).alias("wanted_row"), "n", value, "known_row", "matches")
+
+
+def set_likeness(left: DataFrame, right: DataFrame, row: str, values: str) -> DataFrame:
+    """``left_row, left_rows, right_row, right_rows, shared, likeness`` of classes of rows with equal sets that share a value.
+
+    Rows with one set of values are one class, named by its first row, so a frequent set meets the others once.
+    """
+    def classes(rows: DataFrame, side: str) -> DataFrame:
+        sets = rows.select(row, F.array_sort(F.array_distinct(values)).alias("set"))
+        return sets.groupBy("set").agg(F.min(row).alias(f"{side}_row"), F.count("*").alias(f"{side}_rows")).withColumn("value", F.explode("set")).withColumnRenamed("set", f"{side}_set")
+
+    met = classes(left, "left").join(classes(right, "right"), "value")
+    union = F.size(F.array_union("left_set", "right_set"))
+    pairs = met.groupBy("left_row", "left_rows", "right_row", "right_rows", union.alias("_union")).agg(F.count("*").alias("shared"))
+    return pairs.select("left_row", "left_rows", "right_row", "right_rows", "shared", F.round(F.col("shared") / F.col("_union"), 6).alias("likeness"))
+
+
+def compared_pairs(candidates: DataFrame, order: list[str], name: str) -> DataFrame:
+    """``base, candidate, comparison`` of candidates in an order: the first with each other, then neighbours after it."""
+    placed = with_position(candidates, order).select("position", F.col(name).alias("candidate"))
+    base = placed.select((F.col("position") + 1).alias("position"), F.col("candidate").alias("base"))
+    adjacent = placed.filter("position > 1").join(base, "position").select("base", "candidate", F.lit("adjacent").alias("comparison"))
+    first = placed.filter("position = 0").select(F.col("candidate").alias("base"))
+    from_first = placed.filter("position > 0").join(F.broadcast(first)).select("base", "candidate", F.lit("first").alias("comparison"))
+    return from_first.unionByName(adjacent)

@@ -9,6 +9,7 @@ from recordloom.functions import text as X
 from recordloom.functions.code import assertion_structures, comment_counts, first_function, normalised_assertions, source_facts
 from recordloom.operators import aggregates, records, similarity
 from recordloom.plans.selection import HELDOUT, _words
+from recordloom.operators import joins
 from recordloom.session import read_table
 
 
@@ -150,7 +151,7 @@ def program_facts(spark: SparkSession, folder: str) -> DataFrame:
     code = X.unwrap_fence("response_text")
     found = rows.select(source_facts(code).alias("f"), comment_counts(code).alias("c"), first_function(code).alias("d"))
     return found.groupBy("f.parses").agg(
-        F.count("*").alias("answers"), *[F.sum(F.col(f"f.{c}").cast("long")).alias(c) for c in ("docstring", "loose_string", "top_assert", "forbidden_call")],
+        F.count("*").alias("answers"), *[F.sum(F.col(f"f.{c}").cast("long")).alias(c) for c in ("docstring", "loose_string", "top_assert", "forbidden_call", "forbidden_import")],
         F.sum("c.comment_tokens").alias("comment_tokens"), F.count("d.name").alias("with_function"),
     )
 
@@ -163,6 +164,22 @@ def assertion_forms(spark: SparkSession, folder: str) -> DataFrame:
     return listed.groupBy(F.col("p.form").alias("form")).agg(F.count("*").alias("assertions"), F.countDistinct("p.text").alias("different"))
 
 
+def assertion_matches(spark: SparkSession, folder: str) -> DataFrame:
+    """Assertions of test items that stand, in one layout, among those of validation items: the first such item."""
+    rows = read_table(spark, folder, "heldout_tasks").filter("assertion_text is not null")
+    asserted = rows.select("split", "heldout_id", normalised_assertions("assertion_text", "entry_point").alias("a"))
+    side = lambda s: asserted.filter(F.col("split") == s).select("heldout_id", F.posexplode("a").alias("n", "assertion"))
+    return joins.first_matches(side("validation"), side("test"), "heldout_id", "assertion")
+
+
+def assertion_likeness(spark: SparkSession, folder: str) -> DataFrame:
+    """Likeness of the assertion structures of validation and test items, by class of equal structures."""
+    rows = read_table(spark, folder, "heldout_tasks").filter("assertion_text is not null")
+    shaped = rows.select("split", "heldout_id", assertion_structures("assertion_text", "entry_point").alias("s"))
+    side = lambda s: shaped.filter(F.col("split") == s)
+    return joins.set_likeness(side("validation"), side("test"), "heldout_id", "s")
+
+
 def exact_fingerprint_check(spark: SparkSession, folder: str) -> DataFrame:
     """Texts for which the native fingerprint is not the exact one, per language."""
     rows = read_table(spark, folder, "documents").filter("text is not null")
@@ -180,12 +197,17 @@ QUERIES = {f.__name__: f for f in (
     heldout_fingerprints, statement_containment, common_openings, word_counts, response_style, response_endings,
     unwrapped_answers, byte_lengths, private_strings, answer_likeness, nearest_training_texts, likeness_histogram,
     difficulty_names, test_outputs, bounded_texts, text_issues, released_records, program_facts, assertion_forms,
+    assertion_matches, assertion_likeness,
     exact_fingerprint_check, parsed_properties,
 )}
 
 _GRAMS = "list_distinct(list_transform(range(1, greatest(1, length({t}) - 4) + 1), lambda i: substring({t}, i, 5)))"
-_PATH = r"(?:/root|/home/[^/\s]+|[A-Za-z]:\\Users\\[^\\\s]+)[^\s\"'']*"
-_KEY = r"(?:sk-[A-Za-z0-9_-]{16,}|hf_[A-Za-z0-9]{16,})"
+_PATH = r"(^|[^A-Za-z0-9/])/(?:[rR][oO][oO][tT]|[hH][oO][mM][eE])/[^\s\"'']+"
+_USERS = r"[A-Za-z]:\\[uU][sS][eE][rR][sS]\\[^\s\"'']+"
+_KEY = r"(?i)(?:\bsk[-_][a-z0-9_-]{12,}|\bhf_[a-z0-9]{12,}|bearer\s+[a-z0-9._~+/-]{12,})"
+#: Without a look-behind the character before a path is taken along and put back.
+_CLEAN = f"regexp_replace(regexp_replace({{t}}, '{_PATH}', '\\1<path>', 'g'), '{_USERS}', '<path>', 'g')"
+_PATHS = f"len(regexp_extract_all({{t}}, '{_PATH}')) + len(regexp_extract_all({{t}}, '{_USERS}'))"
 
 ORACLES = {
     "heldout_fingerprints": rf"WITH {HELDOUT} SELECT heldout_id, {_words('body')} AS words, try_cast(nullif(regexp_extract(heldout_id, '(\d+)', 1), '') AS BIGINT) AS number FROM held",
@@ -211,8 +233,8 @@ u AS (SELECT finish_reason, t, CASE WHEN len(regexp_extract_all(c, '```')) = 2 A
 SELECT finish_reason, count(*) AS answers, count(CASE WHEN i <> t THEN 1 END) AS unwrapped, CAST(sum(length(i)) AS BIGINT) AS chars FROM u GROUP BY 1""",
     "byte_lengths": """SELECT lang, count(*) AS texts, CAST(sum(length(text)) AS BIGINT) AS chars, CAST(sum(octet_length(encode(text))) AS BIGINT) AS bytes,
   count(CASE WHEN n_chars <> length(text) THEN 1 END) AS wrong_n_chars FROM documents WHERE text IS NOT NULL GROUP BY 1""",
-    "private_strings": f"""SELECT source, count(*) AS texts, CAST(sum(len(regexp_extract_all(text, '{_PATH}'))) AS BIGINT) AS paths,
-  count(CASE WHEN regexp_matches(text, '{_KEY}') THEN 1 END) AS with_keys, CAST(sum(length(regexp_replace(text, '{_PATH}', '<path>', 'g'))) AS BIGINT) AS clean_chars
+    "private_strings": f"""SELECT source, count(*) AS texts, CAST(sum({_PATHS.format(t='text')}) AS BIGINT) AS paths,
+  count(CASE WHEN regexp_matches(text, '{_KEY}') THEN 1 END) AS with_keys, CAST(sum(length({_CLEAN.format(t='text')})) AS BIGINT) AS clean_chars
 FROM documents WHERE text IS NOT NULL GROUP BY 1""",
     "answer_likeness": f"""WITH g AS (SELECT train_id, {_GRAMS.format(t='p')} AS a, {_GRAMS.format(t='r')} AS b
   FROM (SELECT train_id, task.problem_text AS p, response_text AS r FROM training_records) WHERE p IS NOT NULL AND r IS NOT NULL)
@@ -229,8 +251,8 @@ SELECT doc_kind, count(*) AS texts, count(CASE WHEN c <> text THEN 1 END) AS cut
   CASE WHEN NOT validation.content_bytes_match THEN 'bytes differ' END,
   CASE WHEN token_usage.prompt_tokens + token_usage.completion_tokens <> token_usage.total_tokens THEN 'total differs' END], lambda x: x IS NOT NULL)) AS issue FROM normalized_attempts)
 SELECT issue, count(*) AS records FROM i GROUP BY 1""",
-    "released_records": f"""SELECT train_id, problem_id, task.lang AS lang, regexp_replace(response_text, '{_PATH}', '<path>', 'g') AS response_text,
-  CAST(coalesce(len(regexp_extract_all(response_text, '{_PATH}')), 0) AS INTEGER) AS redactions FROM training_records""",
+    "released_records": f"""SELECT train_id, problem_id, task.lang AS lang, {_CLEAN.format(t='response_text')} AS response_text,
+  CAST(coalesce({_PATHS.format(t='response_text')}, 0) AS INTEGER) AS redactions FROM training_records""",
     "parsed_properties": """WITH t AS (SELECT event_type, try_cast(CASE WHEN json_valid(props) THEN json_extract_string(props, '$.k') END AS BIGINT) AS k FROM events)
 SELECT event_type, count(*) AS events, count(k) AS parsed, CAST(sum(k) AS BIGINT) AS total FROM t GROUP BY 1""",
 }

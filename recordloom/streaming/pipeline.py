@@ -19,7 +19,6 @@ from pyspark.sql.streaming.listener import StreamingQueryListener
 from pyspark.sql.streaming.query import StreamingQuery
 
 from recordloom.operators.records import RAW, normalise, split_errors
-from recordloom.sources.sinks import publish_report
 
 
 def land(records: list[dict], folder: str) -> str:
@@ -95,9 +94,12 @@ class StateReport(StreamingQueryListener):
         self.path, self.state = path, {"batches": 0, "rows": 0, "ended": 0, "errors": []}
 
     def _write(self) -> None:
-        if os.path.exists(self.path):
-            os.remove(self.path)
-        publish_report(self.state, self.path)
+        # Replaced in one step: a reader finds the last state or this one.
+        with open(self.path + ".part", "w", encoding="utf-8") as f:
+            f.write(json.dumps(self.state, sort_keys=True, ensure_ascii=False, indent=1) + "\n")
+            f.flush()
+            os.fsync(f.fileno())
+        os.replace(self.path + ".part", self.path)
 
     def onQueryStarted(self, event) -> None:
         self._write()

@@ -133,11 +133,11 @@ def test_labels(spark):
 def test_code(spark):
     df = spark.createDataFrame([("def f(a, b=1):\n    'doc'\n    return eval(a)  # x\nassert f",), ("def (",), (None,)], "x string")
     got = [r.f for r in df.select(code.source_facts("x").alias("f")).collect()]
-    assert got[0].asDict() == {"parses": True, "docstring": True, "loose_string": False, "top_assert": True, "forbidden_call": True}
+    assert got[0].asDict() == {"parses": True, "docstring": True, "loose_string": False, "top_assert": True, "forbidden_call": True, "forbidden_import": False}
     assert not got[1].parses and not got[2].parses
     assert [tuple(r.f) for r in df.select(code.first_function("x").alias("f")).collect()] == [("f", "def f(a, b=1)", 2), (None, None, None), (None, None, None)]
     assert [tuple(r.f) for r in df.select(code.comment_counts("x").alias("f")).collect()][0] == (1, 1)
-    assert code.assertion_shapes("assert f(1) == x.y\nassert (", "f") == ["Compare(Call(TARGET,int),Eq,NAME.y)"]
+    assert code.assertion_shapes("assert f(1) == x.y\nassert (", "f") == ["Compare(Call(TARGET,int),Eq,NAME.ATTR)", "SYNTAX_ERROR"]
     assert code.normal_assertions("assert  f( 1 )==2", "f") == ["assert target(1) == 2"]
 
 
