@@ -10,6 +10,7 @@ of all its texts leave a gap. The one thing that is not learned is whether a pla
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,6 +30,7 @@ FENCE = "```"
 #: Symbols of characters: a letter of the alphabet is itself, others are classes.
 _SINGLE = " \n.,;:!?()[]{}`'\"-_—。，！？：；"
 OTHER, LETTER, IDEOGRAPH, DIGIT = 0, 27, 28, 29
+_IDEOGRAPHS = "\u3040-\u30ff\u3400-\u9fff\uac00-\ud7af"
 SYMBOLS = 64
 CHUNK = 1 << 20
 #: Counters of the contexts; contexts are hashed to them.
@@ -68,11 +70,16 @@ def symbols(text: str) -> np.ndarray:
     return _TABLE[np.minimum(data, 0xFFFF)].astype(np.int64)
 
 
+#: First tokens: ideographs in a row, as they are not parted by blanks, or else what stands before a blank or ideograph.
+_FIRST = re.compile(f"[{_IDEOGRAPHS}]{{1,4}}|[^ {_IDEOGRAPHS}]{{1,{TOKEN}}}")
+
+
 def opening(line: str) -> tuple[int, int]:
-    """Of a line's first token: what classes of characters it begins with, and a hash of the token, digits as one."""
-    token = line[: 2 * TOKEN].split(" ", 1)[0][:TOKEN]
-    if not token:
+    """Of a line's first token: what class of characters it begins with, and a hash of the token, digits as one."""
+    match = _FIRST.match(line)
+    if not match:
         return 0, 0
+    token = match[0]
     if token[0].isdigit():
         return DIGIT, DIGIT
     first = token[0]
