@@ -106,12 +106,17 @@ def body(text: str) -> tuple[str, bool]:
     return text, lost
 
 
-def _number(level: int, *parts: np.ndarray) -> np.ndarray:
-    """Counter of each context."""
+def _hashes(level: int, *parts: np.ndarray) -> np.ndarray:
+    """Hash of what a context has of its line, or of a symbol alone."""
     out = np.full(len(parts[0]), level, np.uint64)
     for p in parts:
         out = mix(out * np.uint64(0x9E3779B97F4A7C15) + p.astype(np.uint64))
-    return (out & np.uint64(COUNTERS - 1)).astype(np.int64)
+    return (out & np.uint64(COUNTERS - 1)).astype(np.int32)
+
+
+#: Hashes of the symbols, and of their classes, in which letters and ideographs are one each.
+_EACH = np.arange(SYMBOLS)
+_SYMBOL_HASH, _CLASS_HASH = _hashes(7, _EACH), _hashes(8, np.where(_EACH < LETTER, np.minimum(_EACH, 1), _EACH))
 
 
 class _Chunk:
@@ -122,39 +127,40 @@ class _Chunk:
 
     def __init__(self, texts: list[tuple[str, int, bool]]):
         lines = [t.split("\n") for t, *_ in texts]
-        inside = np.array([x for ls in lines for x in fences(ls)], np.int64)
-        heads = [opening(x) for ls in lines for x in ls]
         # A line break belongs to the line that it ends, and one more parts the texts.
-        size = np.array([len(x) + 1 for ls in lines for x in ls])
         s0 = symbols("".join(t + "\n" for t, *_ in texts))
-        repeat = lambda x: np.repeat(np.array(x, np.int64), size)
-        code, kind, token = repeat(inside), repeat([k for k, _ in heads]), repeat([t for _, t in heads])
+        flat = [x for ls in lines for x in ls]
+        size = np.array([len(x) + 1 for x in flat])
+        code = np.array([x for ls in lines for x in fences(ls)], np.int64)
+        kind, token = (np.array(x, np.int64) for x in zip(*map(opening, flat)))
+        lang = np.repeat(np.array([x for _, x, _ in texts], np.int64), [len(ls) for ls in lines])
         lengths = np.array([len(t) + 1 for t, *_ in texts])
-        lang = np.repeat(np.array([x for _, x, _ in texts], np.int64), lengths)
         self.starts = np.cumsum(lengths) - lengths
         self.last = np.cumsum(lengths) - 2
         self.lengths = lengths
         self.inside = s0 != BREAK
         self.line_ends = np.append(s0[1:] == BREAK, False) & self.inside
         # The end of a marked text, or of one inside a block, speaks for nothing.
-        self.own = ~np.array([lost for *_, lost in texts]) & (code[self.last] == 0)
+        self.own = ~np.array([lost for *_, lost in texts]) & (code[np.cumsum([len(ls) for ls in lines]) - 1] == 0)
         self.text_ends = np.zeros(len(s0), bool)
         self.text_ends[self.last] = self.own
         self.line_ends[self.last] = self.own
-        coarse = np.where(s0 < LETTER, np.minimum(s0, 1), s0)
-        state = code * 256 + kind
-        # Shorter contexts first. Further characters before the last one make the odds no better, see the README.
+        # Shorter contexts first. Further characters before the last one make the odds no better, see the README. What a
+        # context has of its line is hashed once a line.
+        symbol, coarse = _SYMBOL_HASH[s0], _CLASS_HASH[s0]
+        tokens = np.repeat(_hashes(3, code, token), size)
         self.numbers = [
-            _number(0, code, s0),
-            _number(1, code, lang, s0),
-            _number(2, state, s0),
-            _number(3, code, token, coarse),
-            _number(4, code, token, s0),
+            np.repeat(_hashes(0, code), size) ^ symbol,
+            np.repeat(_hashes(1, code, lang), size) ^ symbol,
+            np.repeat(_hashes(2, code * 256 + kind), size) ^ symbol,
+            tokens ^ coarse,
+            tokens ^ symbol,
         ]
 
     def add_to(self, counts: np.ndarray) -> None:
+        places = self.inside, np.flatnonzero(self.line_ends), np.flatnonzero(self.text_ends)
         for number in self.numbers:
-            for k, which in enumerate((self.inside, self.line_ends, self.text_ends)):
+            for k, which in enumerate(places):
                 counts[k * COUNTERS : (k + 1) * COUNTERS] += np.bincount(number[which], minlength=COUNTERS)
 
 
