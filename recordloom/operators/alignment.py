@@ -2,9 +2,19 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Bytes of text whose ends are in memory at once (a longer text is taken alone).
+PART_BYTES = 4 << 20
+SHAPES = ("1:1", "1:N", "N:1", "N:M")
+#: What the SQL's \s matches: tab, line feed, form feed, carriage return, blank. All are single bytes in UTF-8.
+_SPACE = np.isin(np.arange(256), [9, 10, 12, 13, 32])
+
 
 def with_ends(sizes: Column) -> Column:
     """Cumulative ends of an array of lengths, inside the row (no exchange)."""
@@ -56,9 +66,95 @@ def align_tokens(left: DataFrame, right: DataFrame, record: str) -> DataFrame:
     return marked.select(record, "side", "position", "end_byte", chunk.alias("chunk"))
 
 
-def shape_name(left: Column, right: Column) -> Column:
-    side = lambda n, many: F.when(n == 1, "1").otherwise(many)
-    return F.concat(side(left, F.when(right == 1, "N").otherwise("N")), F.lit(":"), side(right, F.when(left == 1, "N").otherwise("M")))
+def word_ends(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Ends, on the axis of all bytes, of the words of the texts from offset to offset, each with the white space before it.
+
+    White space at the end of a text is a piece of its own. As ``word_lengths``, but a vertical tab is part of a word.
+    """
+    if not len(data):
+        return np.zeros(0, np.int64)
+    space = _SPACE[data]
+    last = np.zeros(len(data), bool)
+    last[:-1] = ~space[:-1] & space[1:]
+    last[offsets[1:][offsets[1:] > offsets[:-1]] - 1] = True
+    return np.flatnonzero(last) + 1
+
+
+def fixed_ends(offsets: np.ndarray, size: int) -> np.ndarray:
+    """Ends, on the axis of all bytes, of the pieces of ``fixed_lengths`` of the texts from offset to offset."""
+    pieces = -(-np.diff(offsets) // size)
+    nth = np.arange(1, pieces.sum() + 1) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+    return np.minimum(np.repeat(offsets[:-1], pieces) + size * nth, np.repeat(offsets[1:], pieces))
+
+
+def shared_chunks(left: np.ndarray, right: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Text number, left and right pieces of each chunk; both sides are rising ends on the axis of all bytes.
+
+    A chunk ends where both sides end and begins at the chunk before it or at its text's start. Pieces after a text's
+    last common end are in no chunk.
+    """
+    marks = np.zeros(offsets[-1] + 1, bool)
+    marks[right] = True
+    at_left = np.flatnonzero(marks[left])
+    common = left[at_left]
+    marks[right] = False
+    marks[common] = True
+    at_right = np.flatnonzero(marks[right])
+    text = np.searchsorted(offsets, common) - 1
+    first = np.ones(len(common), bool)
+    first[1:] = text[1:] != text[:-1]
+    counts = []
+    for ends, at in ((left, at_left), (right, at_right)):
+        before = np.concatenate([[0], at[:-1] + 1]).astype(np.int64)[: len(at)]
+        before[first] = np.searchsorted(ends, offsets[text[first]], "right")
+        counts.append(at + 1 - before)
+    return text, *counts
+
+
+def shape_counts(rows: DataFrame, record: str, text: str, size: int) -> DataFrame:
+    """Per row of ``rows`` its record and ``chunks_K, left_K, right_K``: chunks of shape K (place in ``SHAPES``) that words
+    and pieces of ``size`` bytes have in common, and their words and pieces.
+
+    Texts are read once (Arrow batches in Python); no token is a row and nothing is exchanged. A null text is empty, and
+    an empty text has no chunk.
+    """
+    kinds = [f"{what}_{k}" for what in ("chunks", "left", "right") for k in range(len(SHAPES))]
+
+    def counted(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+        rows, left, right = shared_chunks(word_ends(data, offsets), fixed_ends(offsets, size), offsets)
+        key = len(SHAPES) * rows + 2 * (left > 1) + (right > 1)
+        n = len(SHAPES) * (len(offsets) - 1)
+        sums = [np.bincount(key, w, n).astype(np.int64).reshape(-1, len(SHAPES)) for w in (None, left, right)]
+        return np.concatenate(sums, axis=1)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = batch.column("text").cast(pa.large_binary())
+            _, ends, data = texts.buffers()
+            offsets = np.frombuffer(ends, np.int64)[texts.offset : texts.offset + len(texts) + 1]
+            data = np.frombuffer(data or b"", np.uint8)
+            start = 0
+            while start < len(texts):
+                stop = max(start + 1, int(np.searchsorted(offsets, offsets[start] + PART_BYTES, "right")) - 1)
+                own = offsets[start : stop + 1]
+                counts = counted(data[own[0] : own[-1]], own - own[0])
+                arrays = [batch.column("record").slice(start, stop - start), *(pa.array(c) for c in counts.T)]
+                yield pa.RecordBatch.from_arrays(arrays, names=["record", *kinds])
+                start = stop
+
+    source = rows.select(F.col(record).alias("record"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    kind = source.schema["record"].dataType.simpleString()
+    return source.mapInArrow(run, f"record {kind}, " + ", ".join(f"{c} long" for c in kinds)).withColumnRenamed("record", record)
+
+
+def shape_totals(counts: DataFrame) -> DataFrame:
+    """``shape, chunks, left_tokens, right_tokens`` of the shapes that occur in rows of ``shape_counts``."""
+    sums = counts.agg(*[F.sum(f"{what}_{k}").alias(f"{what}_{k}") for what in ("chunks", "left", "right") for k in range(len(SHAPES))])
+    listed = F.array(*[
+        F.struct(F.lit(name).alias("shape"), F.col(f"chunks_{k}").alias("chunks"), F.col(f"left_{k}").alias("left_tokens"), F.col(f"right_{k}").alias("right_tokens"))
+        for k, name in enumerate(SHAPES)
+    ])
+    return sums.select(F.inline(listed)).filter("chunks > 0")
 
 
 def contiguous(tokens: DataFrame, record: str) -> DataFrame:

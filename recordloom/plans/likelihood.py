@@ -77,16 +77,9 @@ def _answers(spark: SparkSession, folder: str) -> DataFrame:
 
 def alignment_shapes(spark: SparkSession, folder: str) -> DataFrame:
     """Shapes of the chunks that words and pieces of four bytes have in common, over all answers."""
-    rows = _answers(spark, folder)
-    left = _tokens(rows, alignment.word_lengths(F.col("response_text")))
-    right = _tokens(rows, alignment.fixed_lengths(F.col("response_text"), 4))
-    tokens = alignment.align_tokens(left, right, "id").filter("chunk is not null")
-    chunks = tokens.groupBy("id", "chunk").agg(
-        F.sum((F.col("side") == "left").cast("long")).alias("l"), F.sum((F.col("side") == "right").cast("long")).alias("r")
-    )
-    return chunks.groupBy(alignment.shape_name(F.col("l"), F.col("r")).alias("shape")).agg(
-        F.count("*").alias("chunks"), F.sum("l").alias("left_tokens"), F.sum("r").alias("right_tokens")
-    )
+    rows = read_table(spark, folder, "normalized_attempts").filter("id is not null and length(response_text) > 0")
+    # Counted before repeated ids are dropped, so the exchange has numbers and no texts.
+    return alignment.shape_totals(alignment.shape_counts(rows, "id", "response_text", 4).dropDuplicates(["id"]))
 
 
 def token_contiguity(spark: SparkSession, folder: str) -> DataFrame:
